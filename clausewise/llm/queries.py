@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, dedup, mixing, quality, sharding
+from . import chat, decontam, dedup, licenses, mixing, quality, secrets, sharding, tokens, toxicity
 from .common import table
 
 
@@ -18,6 +18,22 @@ def op3_curriculum_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_license_dice(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_compression_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_transducer_tokens(spark, sf_dir):
+    return tokens.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_forest_secrets(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_template_decontamination(spark, sf_dir):
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,7 +46,7 @@ def op10_bottom_k_dedup(spark, sf_dir):
     return dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cascade, op2_kd_sharding, op3_curriculum_mix, op8_template_decontamination, op9_prefix_target_chat, op10_bottom_k_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_cascade, op2_kd_sharding, op3_curriculum_mix, op4_license_dice, op5_compression_toxicity, op6_transducer_tokens, op7_forest_secrets, op8_template_decontamination, op9_prefix_target_chat, op10_bottom_k_dedup)}
 ORACLES = {
     "op1_quality_cascade": quality.ORACLE,
     "op3_curriculum_mix": mixing.ORACLE,

@@ -25,6 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,8 +285,6 @@ def load_spec(path: str) -> str:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row. The tokenizer's merges travel as one broadcast."""
-    import pandas as pd
-
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
 
     @F.pandas_udf("long")
