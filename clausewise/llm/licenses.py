@@ -100,8 +100,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
         return let(hits, lambda h: F.transform(names(h), lambda n: top(h, n)))
 
     fitting = F.filter(F.transform(segments(t), bigrams), lambda s: F.size(s).between(least, most))
-    near = docs.select("doc_id", F.when(held >= least, fitting).alias("sets")).filter(F.col("sets").isNotNull())
-    return near.select("doc_id", F.explode(found(F.col("sets"))).alias("m")).select("doc_id", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
+    near = docs.filter(held >= least).select("doc_id", fitting.alias("sets"))
+    # the outer form: for an inner one Catalyst adds a filter on the array's size, which computes it twice
+    hits = near.select("doc_id", F.explode_outer(found(F.col("sets"))).alias("m")).filter("m is not null")
+    return hits.select("doc_id", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
