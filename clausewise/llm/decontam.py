@@ -76,7 +76,9 @@ def windows(marked: Column) -> Column:
 def exploded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, at, h, slots: one row for each window."""
     rows = df.filter(F.col(text).isNotNull()).select(key, windows(marked_words(F.col(text))).alias("ws"))
-    return rows.select(key, F.posexplode("ws").alias("at", "w")).select(key, "at", F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))
+    # the outer form: for an inner one Catalyst adds a filter on size(ws), which computes the windows twice
+    out = rows.select(key, F.posexplode_outer("ws").alias("at", "w")).filter("at is not null")
+    return out.select(key, "at", F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
