@@ -47,7 +47,6 @@ def finding(rule_id: str, severity: str, confidence: Column | float, start: Colu
     )
 
 
-NONE = F.lit(None)
 
 
 def nothing() -> Column:
