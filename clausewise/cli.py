@@ -1,0 +1,197 @@
+"""Command line: lint, baseline, eval, dict, init, schema, version.
+
+Exit status 0: no failed gate, 1: a gate failed, 2: a wrong call or input.
+"""
+
+from __future__ import annotations
+
+import argparse
+import datetime
+import json
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausewise import __version__
+from clausewise.operators import baseline, dictionary, evaluate, grammar, report
+from clausewise.options import Options
+from clausewise.plans import lint as plan
+from clausewise.sources import config, files
+
+STARTER = """mode: flavored          # or strict
+# max_words: 20
+allow:
+  nouns: []
+  verbs: []
+prefer: {}
+presets: []             # software
+# min_confidence: 0.7
+# fail_over: 2.5
+# warnings_as_errors: false
+"""
+
+
+def schema() -> dict:
+    rules = sorted(config.RULE_IDS, key=lambda r: [int(x) if x.isdigit() else 99 for x in r.replace("STE-", "").replace("GR-", "99.").split(".")])
+    return {"commands": ["lint", "baseline", "eval", "dict", "init", "schema", "version"], "config": sorted(config.KEYS), "rules": rules, "fields": list(report.REPORT_FIELDS), "formats": ["text", "json", "ndjson", "sarif", "github"], "exit_codes": {"0": "ok", "1": "gate", "2": "error"}}
+
+
+def visible(spark: SparkSession, folder: Path) -> DataFrame | None:
+    """Files that version control lists below ``folder``; None where it cannot tell."""
+    git = shutil.which("git")
+    if git is None:
+        return None
+    done = subprocess.run([git, "-C", str(folder), "ls-files", "--cached", "--others", "--exclude-standard", "-z"], capture_output=True, check=False)
+    if done.returncode:
+        return None
+    return spark.createDataFrame([(p,) for p in done.stdout.decode().split("\0") if p], "path string")
+
+
+def sources(spark: SparkSession, paths: list[str], exclude: tuple[str, ...], all_files: bool) -> DataFrame:
+    """Documents of files, folders and standard input; the first of paths to one file stays."""
+    out: list[DataFrame] = []
+    seen: set[Path] = set()
+    for p in paths:
+        if p == "-":
+            out.append(files.from_texts(spark, [("-", sys.stdin.read())]))
+            continue
+        at = Path(p)
+        if at.is_dir():
+            found = files.scan(spark, str(at.resolve()), exclude, all_files, None if all_files else visible(spark, at))
+            if found.isEmpty():
+                raise ValueError(f"{p}: the directory has no Markdown or text files")
+            prefix = "" if p in (".", "./") else p.rstrip("/") + "/"
+            out.append(found.select(F.concat(F.lit(prefix), F.col("path")).alias("path"), "text"))
+        elif at.resolve() not in seen:
+            seen.add(at.resolve())
+            try:
+                out.append(files.from_texts(spark, [(p, at.read_bytes().decode("utf-8"))]))
+            except UnicodeDecodeError as err:
+                raise ValueError(f"{p}: not UTF-8") from err
+    docs = out[0]
+    for d in out[1:]:
+        docs = docs.unionByName(d)
+    return docs
+
+
+def run_lint(spark: SparkSession, a: argparse.Namespace, cfg: config.Config, write: bool) -> int:
+    o = cfg.options
+    o = Options(**{**vars(o), **{k: v for k, v in (("mode", a.mode), ("max_words", a.max_words), ("min_confidence", a.min_confidence)) if v is not None}, "warnings_as_errors": o.warnings_as_errors or a.warnings_as_errors})
+    index = dictionary.load(a.dictionary) if a.dictionary else None
+    analyzer = (lambda: grammar.ProcessAnalyzer(a.analyzer.split())) if a.analyzer else None
+    docs = sources(spark, a.paths or ["-"], cfg.exclude, a.all_files).cache()
+    parsed = plan.sentences(docs, o, index).cache()
+    found = report.located(plan.lint(docs, o, index, analyzer, parsed), docs).cache()
+    path = a.baseline or cfg.baseline
+    read = docs.select(F.col("path").alias("file"))
+    if write:
+        if not path:
+            raise ValueError("no baseline file is given")
+        baseline.save(baseline.merged(found, baseline.read(spark, path), read), path, datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+        return 0
+    kept = baseline.new_findings(found, baseline.read(spark, path)) if path else found
+    total = report.gate(report.summary(kept, parsed, docs), o.warnings_as_errors, a.fail_on_new, cfg.fail_over if a.fail_over is None else a.fail_over).first().asDict()
+    status = total.pop("status")
+    per = report.per_file(kept.withColumnRenamed("file", "path"), parsed)
+    sys.stdout.write(report.render(kept, total, a.format, a.limit, tuple(x for x in a.fields.split(",") if x), o.mode, a.summary_only, per))
+    return status
+
+
+def run_eval(spark: SparkSession, a: argparse.Namespace) -> int:
+    root = Path(a.corpus)
+    if not root.is_dir():
+        raise ValueError(f"{root}: the corpus directory does not exist")
+    fixtures = sorted(p for p in root.rglob("*") if p.suffix in (".md", ".markdown", ".txt"))
+    counts, skipped = [], 0
+    for p in fixtures:
+        label = p.with_suffix(".expected.json")
+        want = json.loads(label.read_text()) if label.exists() else {}
+        if want.get("analyze") and not a.analyzer:
+            skipped += 1
+            continue
+        o = Options(mode=want.get("mode", "flavored"), max_noun_words=want.get("max_noun_words", 0), allow_nouns=tuple(want.get("allow_nouns", ())), allow_verbs=tuple(want.get("allow_verbs", ())), prefer=tuple((k, tuple(v)) for k, v in sorted(want.get("prefer", {}).items())))
+        index = dictionary.load(p.parent / want["dictionary"]) if want.get("dictionary") else None
+        docs = files.from_texts(spark, [(p.as_posix(), p.read_text(encoding="utf-8"))])
+        analyzer = (lambda: grammar.ProcessAnalyzer(a.analyzer.split())) if want.get("analyze") else None
+        found = report.located(plan.lint(docs, o, index, analyzer), docs).select("file", "rule_id", "text", F.col("start").alias("place"))
+        labels = spark.createDataFrame([(p.as_posix(), w["rule_id"], w.get("text", ""), k) for k, w in enumerate(want.get("expect", []))], "file string, rule_id string, text string, place long")
+        counts.append(evaluate.match(found, labels))
+    if not counts:
+        raise ValueError(f"{root}: the corpus has no fixture files")
+    whole = counts[0]
+    for c in counts[1:]:
+        whole = whole.unionByName(c)
+    rows = [r.asDict() for r in evaluate.scores(whole).orderBy(F.col("rule_id") == "all", "rule_id").collect()]
+    sys.stdout.write(evaluate.text_report(rows, len(fixtures)))
+    if skipped:
+        sys.stdout.write(f"{skipped} fixture files skipped, because they need the analyzer\n")
+    last = rows[-1]
+    return int(min(last["precision"], last["recall"]) < a.fail_under)
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="clausewise")
+    sub = top.add_subparsers(dest="command", required=True)
+    for name in ("lint", "baseline"):
+        p = sub.add_parser(name)
+        p.add_argument("paths", nargs="*")
+        for flag, kind in (("--mode", str), ("--max-words", int), ("--min-confidence", float), ("--fail-over", float), ("--config", str)):
+            p.add_argument(flag, type=kind)
+        for flag in ("--baseline", "--dictionary", "--analyzer", "--fields"):
+            p.add_argument(flag, default="")
+        p.add_argument("--format", default="text", choices=schema()["formats"])
+        p.add_argument("--limit", type=int, default=0)
+        for flag in ("--summary-only", "--all-files", "--warnings-as-errors", "--fail-on-new", "--no-config"):
+            p.add_argument(flag, action="store_true")
+    p = sub.add_parser("eval")
+    p.add_argument("corpus")
+    p.add_argument("--fail-under", type=float, default=0.0)
+    p.add_argument("--analyzer", default="")
+    p = sub.add_parser("dict")
+    p.add_argument("action", choices=["import", "info", "remove"])
+    p.add_argument("path")
+    p.add_argument("--out", default="dictionary.json")
+    for name in ("init", "schema", "version"):
+        sub.add_parser(name)
+    return top
+
+
+def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    a = parser().parse_args(args)
+    if a.command == "version":
+        print(__version__)
+        return 0
+    if a.command == "schema":
+        print(json.dumps(schema(), indent=2))
+        return 0
+    try:
+        if a.command == "init":
+            if Path(config.NAMES[0]).exists():
+                raise ValueError(f"{config.NAMES[0]} exists")
+            Path(config.NAMES[0]).write_text(STARTER, encoding="utf-8")
+            return 0
+        if a.command == "dict":
+            if a.action == "import":
+                dictionary.parse(Path(a.path).read_text(encoding="utf-8"), a.path).save(a.out)
+            elif a.action == "remove":
+                Path(a.path).unlink()
+            else:
+                words = dictionary.load(a.path).words
+                print(json.dumps({"words": len(words), "approved": sum(w.approved for w in words), "forms": sum(len(w.forms) for w in words)}))
+            return 0
+        spark = spark or SparkSession.builder.appName("clausewise").getOrCreate()
+        if a.command == "eval":
+            return run_eval(spark, a)
+        cfg = config.Config() if a.no_config else config.load(a.config or config.find("."))
+        return run_lint(spark, a, cfg, a.command == "baseline")
+    except (OSError, ValueError) as err:
+        print(f"clausewise: {err}", file=sys.stderr)
+        return 2
+
+
+if __name__ == "__main__":
+    sys.exit(main())
