@@ -3,17 +3,22 @@
 1. Every document's distinct shingle hashes; equal sets fall together first, so that a group of
    copies costs one representative.
 2. The k smallest hashes of a set are its sketch. Two sets with Jaccard >= 0.8 share, but for a
-   chance below 1e-5, at least ``NEED`` of K = 48 values (sets of at most K shingles: at least 0.8
-   of the larger one, exactly). So they share a value among the K - NEED + 1 rarest of either
+   chance below 1e-5, at least ``NEED`` of K = 48 values (sets of at most 0.8 * K shingles: 0.8 of
+   them, exactly). So they share a value among the K - NEED + 1 rarest of either
    sketch, whatever the order: only those are indexed (prefix filter), rarest first, which keeps
    values of common passages out of the inverted lists. Values held by one representative
    need no list at all.
-3. Within a list a centre is compared with all others: linear in the list. Verified links give
-   components; after that only pairs of members in different components can matter. As long as
-   those pairs outnumber a multiple of the index, further centres retire one by one; then all
-   remaining cross-component pairs are compared directly. So no link is lost, and a group of near
-   copies never expands into all its pairs.
-4. A candidate pair is dropped when the union sketch (the K smallest of both sketches) estimates a
+3. Lists of at most ``SMALL`` members are compared directly, a bounded number of pairs for each
+   entry. In a longer list a centre is compared with all others; verified links give components,
+   and after that only pairs of members in different components can matter. As long as those
+   outnumber ``SMALL`` times the entries, further centres retire one by one; where the first
+   round leaves that many, the documents are first indexed anew by their whole sets (a set of n
+   shingles needs a partner that shares one of its rarest n - ceil(0.8 n) + 1, which texts with a
+   common passage do not). Then all that remain are compared directly. So no link is lost, and a
+   group of near copies never expands into all its pairs.
+4. Pairs meet only if their sizes fit and 512-bit parities of their sketches differ in at most
+   ``DIFFER`` bits, which sketches that share ``NEED`` values do but for a chance below 1e-4. A
+   candidate pair is dropped when the union sketch (the K smallest of both sketches) estimates a
    Jaccard below ``ESTIMATE``, over four standard deviations under 0.8; all others are verified on
    their full sets.
 5. Components are the fixed point of minimum labels over verified links.
@@ -31,10 +36,14 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, drop_stored, shingle_hashes, stored, words
 
 K = 48
-NEED = 24
+NEED = 26
 ESTIMATE = 0.5
-#: Remaining cross-component pairs are compared directly when they are at most this many times the index.
-DIRECT = 4
+#: Members of a list that is compared directly, and pairs for each entry of longer lists.
+SMALL = 48
+#: Bits in which the parities of two sketches may differ: 44 values in one sketch only flip 40 of 512, give or take 5.5.
+DIFFER = 62
+#: Ids of documents whose full sets are needed are broadcast up to this many (8 bytes each), else they shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def base_table(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
@@ -51,36 +60,101 @@ def union_estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both)
 
 
-def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(v, id, own, n): the rarest values of each representative's sketch that another one holds too."""
-    entries = reps.select("id", "n", F.explode("sketch").alias("v"), F.size("sketch").alias("s"))
+def prefix_index(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(v, id, own, n) from ``entries(id, v)`` and ``sizes(id, n, s, need)``: the prefix filter.
+
+    Two linked documents share at least ``need`` of the ``s`` entries of either, so they share one of the
+    s - need + 1 rarest. Values with one holder (``own`` counts them) come first and need no list.
+    """
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    # at least this many values are common to the sketches of two linked sets
-    need = F.when(F.col("n") <= K, F.greatest(F.lit(1), F.ceil(F.col("n") * 0.8 * NEED / (0.8 * K)))).otherwise(NEED)
-    by_doc = entries.join(shared, "v").groupBy("id").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    by_doc = entries.join(shared, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).join(sizes, "id")
     own = F.col("s") - F.size("vs")
-    room = (F.col("s") - need + 1 - own).cast("int")
+    room = (F.col("s") - F.col("need") + 1 - own).cast("int")
     kept = by_doc.filter(room > 0).select("id", "n", own.alias("own"), F.explode(F.slice("vs", F.lit(1), room)).alias("e"))
     return kept.select(F.col("e.v").alias("v"), "id", "own", "n")
 
 
-def compatible(n: str, m: str) -> Column:
-    """Sizes that allow a Jaccard of 0.8."""
-    return (100 * F.least(n, m)) >= (80 * F.greatest(n, m))
+PARITY = [f"p{w}" for w in range(8)]
+
+
+def parities(sketch: Column) -> list[Column]:
+    """512 bits in 8 longs: the parity of the values that fall on each bit."""
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
+
+    def word(w: int) -> Column:
+        own = F.filter(sketch, lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(7)) == w)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(bit(v)))
+
+    return [word(w).alias(PARITY[w]) for w in range(8)]
+
+
+def near_parity(a: str, b: str) -> Column:
+    flips = [F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY]
+    total = flips[0]
+    for f in flips[1:]:
+        total = total + f
+    return total <= DIFFER
+
+
+def in_company(lists: DataFrame, reps: DataFrame, sink: list[str]) -> DataFrame:
+    """``lists`` without those of one member, with each list's size and the parities of its members; stored."""
+    whole = stored(lists, sink)
+    sizes = whole.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1")
+    return stored(whole.join(sizes, "v").join(reps.select("id", *parities(F.col("sketch"))), "id"), sink)
+
+
+def sketch_lists(reps: DataFrame, sink: list[str]) -> DataFrame:
+    # up to 0.8 * K a set and any partner of fitting size are whole in their sketches
+    need = F.when(F.col("n") * 5 <= K * 4, F.ceil(F.col("n") * 0.8)).otherwise(NEED)
+    sizes = reps.select("id", "n", F.size("sketch").alias("s"), need.alias("need"))
+    return in_company(prefix_index(reps.select("id", F.explode("sketch").alias("v")), sizes), reps, sink)
+
+
+def full_lists(sets: DataFrame, reps: DataFrame, sink: list[str]) -> DataFrame:
+    n = F.size("set")
+    sizes = sets.select("id", n.cast("long").alias("n"), n.alias("s"), F.ceil(n * 0.8).alias("need"))
+    return in_company(prefix_index(sets.select("id", F.explode_outer("set").alias("v")).filter("v is not null"), sizes), reps, sink)
+
 
+def compatible(a: str, b: str) -> Column:
+    """Sizes that allow a Jaccard of 0.8, sketches that can share enough, and not yet in one component."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    fit = 100 * F.least(n, m) >= 80 * F.greatest(n, m)
+    return fit & (F.col(f"{a}.comp") != F.col(f"{b}.comp")) & near_parity(a, b)
 
-def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= 80 * union."""
+
+def direct_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of compatible members of one list."""
+    x, y = members.alias("x"), members.alias("y")
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & compatible("x", "y"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def centre_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Distinct pairs of each list's centre with its compatible members."""
+    x, y = members.alias("x"), centres.alias("y")
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") != F.col("y.id")) & compatible("x", "y"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def verify(pairs: DataFrame, reps: DataFrame, sets_of, sink: list[str]) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= 80 * union.
+
+    Only documents of pairs that the sketches leave over have their full sets computed and moved.
+    """
     sk = reps.select("id", "sketch")
-    est = (
+    est = stored(
         pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
         .filter(union_estimate(F.col("sa"), F.col("sb")) >= ESTIMATE)
-        .select("a", "b")
+        .select("a", "b"),
+        sink,
     )
+    ids = stored(est.select(F.col("a").alias("id")).union(est.select("b")).distinct(), sink)
+    sets = sets_of(ids)
     full = est.join(sets.select(F.col("id").alias("a"), F.col("set").alias("fa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("fb")), "b")
     both = full.select("a", "b", F.size(F.array_intersect("fa", "fb")).alias("i"), (F.size("fa") + F.size("fb")).alias("t"))
-    return both.filter(100 * F.col("i") >= 80 * (F.col("t") - F.col("i"))).select("a", "b")
+    return both.filter(100 * F.col("i") >= 80 * (F.col("t") - F.col("i"))).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, sink: list[str]) -> DataFrame:
@@ -103,66 +177,80 @@ def components(edges: DataFrame, sink: list[str]) -> DataFrame:
         label = fresh.select("id", F.col("new").alias("comp"))
 
 
+def merge(label: DataFrame, found: DataFrame, sink: list[str]) -> DataFrame:
+    """``label(id, comp)`` after the links ``found(a, b)``: components of the components they join."""
+    of = lambda c, name: label.select(F.col("id").alias(c), F.col("comp").alias(name))
+    named = found.join(of("a", "_ca"), "a", "left").join(of("b", "_cb"), "b", "left")
+    ends = stored(named.select("a", "b", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb")), sink)
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), sink)
+    new = ends.select(F.col("a").alias("id"), F.col("ca").alias("comp")).union(ends.select("b", "cb")).distinct()
+    every = label.union(new).distinct()
+    moved = joined.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return stored(every.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), sink)
+
+
+def with_component(lists: DataFrame, label: DataFrame) -> DataFrame:
+    return lists.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
 def link(reps: DataFrame, sets_of, sink: list[str]) -> DataFrame:
     """(id, comp) for representatives with at least one verified link."""
     spark = reps.sparkSession
-    lists = stored(inverted_lists(reps), sink)
-    sizes = lists.groupBy("v").count().filter("count > 1").select("v")
-    lists = stored(lists.join(sizes, "v"), sink)
+    label = spark.createDataFrame([], "id long, comp long")
+
+    def join_up(pairs: DataFrame) -> DataFrame:
+        found = stored(verify(pairs, reps, sets_of, sink), sink)
+        return label if found.isEmpty() else merge(label, found, sink)
+
+    lists = sketch_lists(reps, sink)
+    label = join_up(direct_pairs(with_component(lists.filter(F.col("members") <= SMALL), label)))
+    lists = lists.filter(F.col("members") > SMALL)
     total = lists.count()
-    empty = spark.createDataFrame([], "id long, comp long")
-    if not total:
-        return empty
-    sets = stored(sets_of(lists.select("id").distinct()), sink)
-    edges: DataFrame | None = None
-    label = empty
+    whole_sets = False
     retired: DataFrame | None = None
-    while True:
+    while total:
         # members with their present component; retired centres have met their whole list
-        members = lists.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if retired is not None:
-            counts = members.groupBy("v", "comp").agg(F.count("*").alias("c"))
-            cross = counts.groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).select("v", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("p")).filter("p > 0")
-            cross = stored(cross, sink)
-            left = cross.agg(F.sum("p")).first()[0] or 0
-            if not left:
-                return label
-            members = members.join(cross.select("v"), "v")
-            direct = left <= DIRECT * total
-        else:
-            direct = False
-        if direct:
-            m = members.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            o = members.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = m.join(o, "v").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible("na", "nb")).select("a", "b").distinct()
-        else:
-            fresh = members if retired is None else members.join(retired, ["v", "id"], "left_anti")
-            centre = fresh.groupBy("v").agg(F.min(F.struct("own", "id", "n", "comp")).alias("c"))
-            new = centre.select("v", F.col("c.id").alias("id"))
-            retired = stored(new if retired is None else retired.union(new), sink)
-            met = members.join(centre, "v").filter((F.col("id") != F.col("c.id")) & (F.col("comp") != F.col("c.comp")) & compatible("n", "c.n"))
-            pairs = met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-        found = stored(verify(pairs, reps, sets), sink)
-        edges = found if edges is None else edges.union(found)
-        if not found.isEmpty():
-            edges = stored(edges, sink)
-            label = components(edges, sink)
-        if direct:
-            return label
+        members = with_component(lists, label)
+        counts = members.groupBy("v", "comp").agg(F.count("*").alias("c"))
+        pairs_left = ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("p")
+        cross = stored(counts.groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).select("v", pairs_left).filter("p > 0"), sink)
+        left = cross.agg(F.sum("p")).first()[0] or 0
+        if not left:
+            break
+        open_lists = members.join(cross.select("v"), "v")
+        if left <= SMALL * total:
+            return join_up(direct_pairs(open_lists))
+        if retired is not None and not whole_sets:
+            ids = stored(open_lists.select("id").distinct(), sink)
+            lists = full_lists(stored(sets_of(ids), sink), reps, sink)
+            total, whole_sets, retired = lists.count(), True, None
+            continue
+        fresh = open_lists if retired is None else open_lists.join(retired, ["v", "id"], "left_anti")
+        row = F.struct("own", "id", "n", "comp", *PARITY)
+        centres = stored(fresh.groupBy("v").agg(F.min(row).alias("c")).select("v", "c.*"), sink)
+        met = centres.select("v", "id")
+        retired = met if retired is None else stored(retired.union(met), sink)
+        label = join_up(centre_pairs(open_lists, centres))
+    return label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     sink: list[str] = []
     whole = base_table(docs, shingle, text)
-    base = stored(whole.select("doc_id", "n", "key", F.slice("set", 1, K).alias("sketch")), sink)
+    base = stored(whole.select("doc_id", "n", "key", F.slice("set", 1, K).alias("sketch")))
     reps = stored(base.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), sink)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return whole.select(F.col("doc_id").alias("id"), "key", "set").join(reps.join(ids, "id", "left_semi").select("id", "key"), ["id", "key"]).select("id", "set").dropDuplicates(["id"])
+        """Full sets of the documents ``ids``, picked before anything is computed or moved."""
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        picked = docs.join(ids.withColumnRenamed("id", "_id"), docs["doc_id"] == F.col("_id"), "left_semi")
+        return base_table(picked, shingle, text).select(F.col("doc_id").alias("id"), "set")
 
     label = link(reps, sets_of, sink)
     named = stored(reps.join(label, "id", "left").select("key", F.least(F.col("id"), F.coalesce("comp", "id")).alias("component_id")))
+    drop_stored(docs.sparkSession, sink)
     out = base.filter("n > 0").select("doc_id", "n", "key").join(named, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
