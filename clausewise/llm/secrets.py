@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Candidates: key characters, at least 16, with a digit or a sign among them; or an assigned value of at least 8.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9+/_=\-])[A-Za-z0-9+/_\-]{16,}={0,2}|(?<=[\"'=:])[A-Za-z0-9!@#$%^&*+/_\-]{8,}(?=[\"'])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_=\-]*[0-9+/_=\-])[A-Za-z0-9+/_\-]{16,}={0,2}|(?<=[\"'=:])[A-Za-z0-9!@#$%^&*+/_\-]{8,}(?=[\"'])")
 AROUND = 48
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "access", "private")
 SAFE_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision", "example", "integrity", "data", "id")
