@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from clausewise.functions.lexicon import ABBREVIATIONS, UNITS
+from clausewise.functions.lexicon import ABBREVIATIONS, INJURY_WORDS, RISK_WORDS, SAFETY_WORDS, UNITS
 
 from .markdown import SPACE, Block, Parsed, parse
 from .suppress import KEYWORD, regions
@@ -58,9 +59,20 @@ SENTENCE = T.StructType(
         T.StructField("lead_bytes", T.IntegerType()),
         T.StructField("byte_start", T.LongType()),
         T.StructField("suppressed", T.ArrayType(REGION)),
+        # of the sentence's block: its sentences, words and end
+        T.StructField("block_n", T.IntegerType()),
+        T.StructField("block_words", T.IntegerType()),
+        T.StructField("block_end", T.IntegerType()),
+        # the token that first tells of a risk in a labelled block, else -1
+        T.StructField("risk_at", T.IntegerType()),
+        # of a list item that starts with prose: items of its list that start with a capital or a small letter, else 0
+        T.StructField("list_upper", T.IntegerType()),
+        T.StructField("list_lower", T.IntegerType()),
     ]
 )
 
+#: Sentence rows of an output batch.
+ROWS = 2000
 _JOIN = "'’ʼ._-"
 _LETTER = r"[^\W_]"
 _TOKEN = re.compile(rf"{_LETTER}(?:{_LETTER}|[{_JOIN}](?={_LETTER}))*")
@@ -208,7 +220,7 @@ def parentheses(masked: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def document_sentences(path: str, source: str, keyword: str = KEYWORD, rejected: Mapping[str, dict] = {}) -> Iterator[dict]:
+def read_sentences(path: str, source: str, keyword: str = KEYWORD, rejected: Mapping[str, dict] = {}) -> Iterator[dict]:
     doc = parse(source)
     hidden = [{"start": a, "end": b, "rules": ids} for a, b, ids in regions(doc, keyword)]
     number = 0
@@ -255,6 +267,53 @@ def document_sentences(path: str, source: str, keyword: str = KEYWORD, rejected:
         yield from rows
 
 
+def risk_index(row: dict) -> int:
+    """The first token of a sentence that tells of a risk above its label's level, or -1."""
+    low = [t["lower"] for t in row["tokens"]]
+    if row["admonition"] == "caution":
+        return next((k for k, w in enumerate(low) if w in INJURY_WORDS), -1)
+    if not row["admonition"] or row["admonition"] in SAFETY_WORDS:
+        return -1
+    pairs = {("data", "loss"), ("lose", "data"), ("loses", "data")}
+    return next((k for k, w in enumerate(low) if w in RISK_WORDS or (w, low[k + 1] if k + 1 < len(low) else "") in pairs), -1)
+
+
+def hidden_start(lead: str) -> bool:
+    """Whether hidden content stands before the first prose word of a line."""
+    return bool(lead.lstrip(" \t-*+>0123456789.)").strip())
+
+
+def document_sentences(path: str, source: str, keyword: str = KEYWORD, rejected: Mapping[str, dict] = {}) -> list[dict]:
+    """Sentence rows of one document, with what rules on blocks and lists need of their neighbours."""
+    rows = list(read_sentences(path, source, keyword, rejected))
+    k = 0
+    items: list[list[dict]] = []
+    last = -2
+    while k < len(rows):
+        z = k
+        while z < len(rows) and rows[z]["block"] == rows[k]["block"]:
+            z += 1
+        block = rows[k:z]
+        words, told = sum(r["words"] for r in block), False
+        for r in block:
+            at = -1 if told else risk_index(r)
+            told |= at >= 0
+            r.update(block_n=z - k, block_words=words, block_end=block[-1]["end"], risk_at=at, list_upper=0, list_lower=0)
+        head = block[0]
+        if head["kind"] == "list-item" and len(head["tokens"]) >= 3 and not hidden_start(head["lead"]):
+            if not items or head["block"] != last + 1:
+                items.append([])
+            items[-1].append(head)
+            last = head["block"]
+        k = z
+    for group in items:
+        upper = sum("A" <= r["text"][0] <= "Z" for r in group)
+        lower = sum("a" <= r["text"][0] <= "z" for r in group)
+        for r in group:
+            r.update(list_upper=upper, list_lower=lower)
+    return rows
+
+
 def sentences(documents: DataFrame, keyword: str = KEYWORD, rejected: Mapping[str, dict] | None = None) -> DataFrame:
     """A row for each sentence of ``documents(path, text)``. Null texts have none.
 
@@ -263,18 +322,19 @@ def sentences(documents: DataFrame, keyword: str = KEYWORD, rejected: Mapping[st
     """
     sent = documents.sparkSession.sparkContext.broadcast(dict(rejected)) if rejected else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = SENTENCE.fieldNames()
+    schema = to_arrow_schema(SENTENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value if sent is not None else {}
+        out: list[dict] = []
         for b in batches:
-            out: list[dict] = []
-            for path, text in zip(b["path"], b["text"]):
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
                 if text:
                     out.extend(document_sentences(path, text, keyword, known))
-                if len(out) >= 2000:
-                    yield pd.DataFrame(out, columns=names)
+                if len(out) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return documents.select("path", "text").filter("text is not null").mapInPandas(run, SENTENCE)
+    return documents.select("path", "text").filter("text is not null").mapInArrow(run, SENTENCE)

@@ -1,8 +1,9 @@
 """Rules as column expressions over sentence rows.
 
-Each builder takes a ``Context`` and returns a column of ``array<finding>``. Sentence rules read one
-row and need no shuffle; they are concatenated and exploded once. Block and document rules are
-DataFrame builders over a slim projection, one shuffle by (path, block) or by path.
+Each builder takes a ``Context`` and returns a column of ``array<finding>``. A sentence rule reads one row,
+which also carries what the parser noted of its block and list, and needs no shuffle; all are
+concatenated and exploded once. Only the first use of a long noun (1.9) asks for a whole
+document; that rule is a DataFrame builder with one shuffle of its few hits.
 
 A finding is (rule_id, message, severity, confidence, start, end, suggestion); positions are code
 points of the document. ``order`` and ``emitted`` keep the catalogue's order among findings that
@@ -429,51 +430,37 @@ def verb_tense(c: Context) -> Column:
     return c.each(lambda t: t["lower"].isin(sorted(L.MODALS)) & ~c.allowed(t["lower"]), make)
 
 
-# --- block and document rules -------------------------------------------------------------------
+# --- rules on blocks and lists: the parser has noted what a sentence's neighbours are ------------
 
-BLOCK_COLUMNS = ("path", "sent_no", "block", "kind", "admonition", "first", "start", "end", "words")
 
+def only(found: Column, condition: Column) -> Column:
+    return F.when(condition, F.array(found)).otherwise(nothing())
 
-def rows_of(df: DataFrame, f: Column, keep: tuple[str, ...] = ("path", "sent_no")) -> DataFrame:
-    return df.select(*keep, f.alias("f"))
 
+def paragraph_length(c: Context) -> Column:
+    f = finding("STE-6.6", "warning", 1.0, F.col("start"), F.col("block_end"), F.concat(F.lit("A paragraph has "), F.col("block_n").cast("string"), F.lit(" sentences; the limit is 6.")), "Divide the paragraph.")
+    return only(f, F.col("first") & (F.col("kind") == "paragraph") & (F.col("block_n") > 6))
 
-def paragraph_length(s: DataFrame, o: Options) -> DataFrame:
-    g = s.filter("kind = 'paragraph'").groupBy("path", "block").agg(F.count("*").alias("n"), F.min("sent_no").alias("sent_no"), F.max("sent_no").alias("end_no"), F.min("start").alias("start"), F.max("end").alias("end"))
-    f = finding("STE-6.6", "warning", 1.0, F.col("start"), F.col("end"), F.concat(F.lit("A paragraph has "), F.col("n").cast("string"), F.lit(" sentences; the limit is 6.")), "Divide the paragraph.")
-    return rows_of(g.filter("n > 6"), f)
 
-
-def safety_instruction(s: DataFrame, o: Options) -> DataFrame:
-    g = s.filter(F.col("admonition").isin(sorted(L.SAFETY_WORDS))).groupBy("path", "block").agg(
-        F.count("*").alias("n"), F.sum("words").alias("words"), F.min("sent_no").alias("sent_no"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("admonition").alias("admonition")
-    )
+def safety_instruction(c: Context) -> Column:
     f = finding("STE-7.3", "warning", 0.7, F.col("start"), F.col("end"), F.concat(F.lit("The "), F.col("admonition"), F.lit(" does not explain the risk.")), "Add a sentence that gives the risk or the result.")
-    return rows_of(g.filter("n = 1 and words <= 12"), f)
+    return only(f, F.col("admonition").isin(sorted(L.SAFETY_WORDS)) & (F.col("block_n") == 1) & (F.col("block_words") <= 12))
 
 
-def risk_word(c: Context) -> Column:
-    """The first word of a sentence that tells of a risk, by the block's label; null without one."""
-    injury = F.get(F.filter(c.tokens, lambda t: t["lower"].isin(sorted(L.INJURY_WORDS))), F.lit(0))
-    follows = lambda i, w: F.coalesce(c.low(i + 1) == w, F.lit(False))
-    risk = F.transform(
-        c.tokens,
-        lambda t, i: F.when(t["lower"].isin(sorted(L.RISK_WORDS)) | ((t["lower"] == "data") & follows(i, "loss")) | (t["lower"].isin("lose", "loses") & follows(i, "data")), t),
-    )
-    return F.when(F.col("admonition") == "caution", injury).when((F.col("admonition") != "") & ~F.col("admonition").isin(sorted(L.SAFETY_WORDS)), F.get(present(risk), F.lit(0)))
+def safety_word(c: Context) -> Column:
+    t = c.tok(F.col("risk_at"))
+    f = finding("STE-7.1", "warning", 0.7, t["start"], t["end"], F.concat(F.lit("The "), F.col("admonition"), F.lit(' tells of a risk ("'), t["text"], F.lit('") above its level.')), 'Use "warning" for injury or death, and "caution" for damage.')
+    return only(f, F.col("risk_at") >= 0)
 
 
-def safety_word(s: DataFrame, o: Options) -> DataFrame:
-    hit = s.filter("admonition <> ''").select("path", "block", "sent_no", "admonition", risk_word(Context(o)).alias("t")).filter("t is not null")
-    first = hit.groupBy("path", "block").agg(F.min_by(F.struct("sent_no", "admonition", "t"), "sent_no").alias("x"))
-    t = F.col("x.t")
-    f = finding("STE-7.1", "warning", 0.7, t["start"], t["end"], F.concat(F.lit("The "), F.col("x.admonition"), F.lit(' tells of a risk ("'), t["text"], F.lit('") above its level.')), 'Use "warning" for injury or death, and "caution" for damage.')
-    return first.select("path", F.col("x.sent_no").alias("sent_no"), f.alias("f"))
+def vertical_list(c: Context) -> Column:
+    letter = F.substr("text", F.lit(1), F.lit(1))
+    odd = F.when(F.col("list_lower") <= F.col("list_upper"), letter.rlike("[a-z]")).otherwise(letter.rlike("[A-Z]"))
+    f = finding("STE-4.3", "info", 0.8, F.col("start"), F.col("start") + 1, text("A list item starts with another kind of letter than the other items."), "Use the same construction for each item of a list.")
+    return only(f, (F.col("list_upper") > 0) & (F.col("list_lower") > 0) & odd)
 
 
-def hidden_start(lead: Column) -> Column:
-    """Whether hidden content stands before the first prose word of the line."""
-    return F.regexp_replace(lead, "^[ \\t\\-*+>0-9.)]+", "").rlike("\\S")
+# --- document rules ------------------------------------------------------------------------------
 
 
 def islands(s: DataFrame) -> DataFrame:
@@ -481,17 +468,6 @@ def islands(s: DataFrame) -> DataFrame:
     return s.withColumn("island", F.col("block") - F.row_number().over(W.partitionBy("path").orderBy("block")))
 
 
-def vertical_list(s: DataFrame, o: Options) -> DataFrame:
-    items = s.filter((F.col("kind") == "list-item") & F.col("first") & (F.size("tokens") >= 3) & ~hidden_start(F.col("lead")))
-    letter = F.substr("text", F.lit(1), F.lit(1))
-    slim = items.select("path", "sent_no", "block", "start", letter.rlike("[A-Z]").alias("upper"), letter.rlike("[a-z]").alias("lower"))
-    w = W.partitionBy("path", "island")
-    counted = islands(slim).withColumn("u", F.sum(F.col("upper").cast("int")).over(w)).withColumn("l", F.sum(F.col("lower").cast("int")).over(w))
-    odd = counted.filter("u > 0 and l > 0").filter(F.when(F.col("l") <= F.col("u"), F.col("lower")).otherwise(F.col("upper")))
-    f = finding("STE-4.3", "info", 0.8, F.col("start"), F.col("start") + 1, text("A list item starts with another kind of letter than the other items."), "Use the same construction for each item of a list.")
-    return rows_of(odd, f)
-
-
 def short_noun(s: DataFrame, o: Options) -> DataFrame | None:
     names = sorted({" ".join(n.lower().split()) for n in (*o.allow_nouns, *o.preset_nouns, *(p for p, _ in o.prefer))})
     names = [n for n in names if len(n.split()) > o.max_noun_words]
@@ -529,11 +505,11 @@ RULES: tuple[tuple[int, Rule], ...] = (
     (6, Rule("spelling", ("STE-1.14",), 0.9, spelling)),
     (7, Rule("nominalizations", ("STE-3.7",), 0.9, nominalizations)),
     (8, Rule("latin_abbreviations", ("STE-GR-6",), 0.9, latin)),
-    (9, Rule("paragraph_length", ("STE-6.6",), 1.0, document=paragraph_length)),
+    (9, Rule("paragraph_length", ("STE-6.6",), 1.0, paragraph_length)),
     (10, Rule("note_instruction", ("STE-5.5",), 0.8, note_instruction)),
-    (11, Rule("safety_instruction", ("STE-7.3",), 0.7, document=safety_instruction)),
-    (12, Rule("safety_word", ("STE-7.1",), 0.7, document=safety_word)),
-    (13, Rule("vertical_list", ("STE-4.3",), 0.8, document=vertical_list)),
+    (11, Rule("safety_instruction", ("STE-7.3",), 0.7, safety_instruction)),
+    (12, Rule("safety_word", ("STE-7.1",), 0.7, safety_word)),
+    (13, Rule("vertical_list", ("STE-4.3",), 0.8, vertical_list)),
     (14, Rule("condition_order", ("STE-5.4",), 0.7, condition_order)),
     (15, Rule("one_name", ("STE-1.11",), 0.95, one_name)),
     (16, Rule("short_noun", ("STE-1.9",), 0.95, document=short_noun)),

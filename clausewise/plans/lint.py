@@ -1,7 +1,7 @@
 """From documents to ordered findings, as one lazy DataFrame.
 
-Parsing and all sentence rules are narrow. Only rules on blocks shuffle, and only the columns they read;
-without such findings to keep the plan has no exchange before the final order.
+Parsing and all rules without grammar but one are one narrow pass: the plan has no exchange before the
+final order, and every document is parsed once.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def sentence_findings(s: DataFrame, options: Options, tagged: bool) -> DataFrame
     if not parts:
         parts = [F.array().cast(f"array<struct<rule_order:int,emitted:int,f:{R.FINDING}>>")]
     # the outer form keeps Catalyst from computing all rules twice for a size filter
-    rows = s.select("path", "sent_no", F.explode_outer(F.concat(*parts)).alias("x")).filter("x is not null")
+    # suppressed findings go before the explode, so that no region travels with a finding
+    rows = s.select("path", "sent_no", F.explode_outer(F.filter(F.concat(*parts), lambda x: ~suppressed(x["f"]["start"], x["f"]["rule_id"]))).alias("x")).filter("x is not null")
     return rows.select("path", "sent_no", "x.rule_order", "x.emitted", "x.f")
 
 
@@ -75,21 +76,29 @@ def lint(documents: DataFrame, options: Options | None = None, index: Index | No
     tagged = analyzer is not None
     if tagged:
         s = G.annotate(s, analyzer)
-    parts = [sentence_findings(s, o, tagged), *block_findings(s, o)]
-    if tagged:
-        parts += [GR.findings(s, o, index), GR.procedures(s, o)]
-    cast = [p.select("path", "sent_no", "rule_order", "emitted", F.col("f").cast(R.FINDING).alias("f")) for p in parts]
-    found = reduce(DataFrame.unionByName, cast).select("path", "sent_no", "rule_order", "emitted", "f.*")
+    parts = [sentence_findings(s, o, tagged)]
+    other = block_findings(s, o) + ([GR.findings(s, o, index), GR.procedures(s, o)] if tagged else [])
+    if other:
+        parts.append(suppress(reduce(DataFrame.unionByName, [columns(p) for p in other]), s))
+    found = reduce(DataFrame.unionByName, map(columns, parts)).select("path", "sent_no", "rule_order", "emitted", "f.*")
     kept = found.filter((F.col("confidence") >= o.confidence) & ~F.col("rule_id").isin(list(o.disable)) if o.disable else F.col("confidence") >= o.confidence)
-    leveled = kept.withColumn("severity", severity(o, F.col("rule_id"), F.col("severity"))).filter("severity <> 'off'")
-    return suppress(leveled, s)
+    return kept.withColumn("severity", severity(o, F.col("rule_id"), F.col("severity"))).filter("severity <> 'off'")
+
+
+def columns(found: DataFrame) -> DataFrame:
+    return found.select("path", "sent_no", "rule_order", "emitted", F.col("f").cast(R.FINDING).alias("f"))
+
+
+def suppressed(start: Column, rule: Column) -> Column:
+    """Whether a finding starts in a region of its sentence's document that suppresses its rule."""
+    return F.exists("suppressed", lambda r: (r["start"] <= start) & (start < r["end"]) & ((F.size(r["rules"]) == 0) | F.array_contains(r["rules"], rule)))
 
 
 def suppress(found: DataFrame, s: DataFrame) -> DataFrame:
-    """Drops findings that start in a suppressed region. Only documents with regions are joined."""
+    """The same for findings that come from other stages: only documents with regions are joined."""
     regions = s.filter("size(suppressed) > 0 and sent_no = 0").select(F.col("path").alias("_path"), "suppressed")
-    hit = F.exists("suppressed", lambda r: (r["start"] <= F.col("start")) & (F.col("start") < r["end"]) & ((F.size(r["rules"]) == 0) | F.array_contains(r["rules"], F.col("rule_id"))))
-    return found.join(regions, F.col("path") == F.col("_path"), "left").filter(F.col("suppressed").isNull() | ~hit).drop("_path", "suppressed")
+    joined = found.join(regions, F.col("path") == F.col("_path"), "left")
+    return joined.filter(F.col("suppressed").isNull() | ~suppressed(F.col("f.start"), F.col("f.rule_id"))).select(*found.columns)
 
 
 def ordered(found: DataFrame) -> DataFrame:

@@ -18,14 +18,14 @@ def token(index, text, head, start, pos="X", tag="T", dep="d"):
 
 
 def test_align_takes_the_governor():
-    row = next(document_sentences("x", "The lid isn't open."))
+    row = next(iter(document_sentences("x", "The lid isn't open.")))
     syntax = [token(0, "The", 1, 0), token(1, "lid", 2, 4), token(2, "is", 2, 8, dep="ROOT"), token(3, "n't", 2, 10), token(4, "open", 2, 14), token(5, ".", 2, 18), token(6, "ghost", 2, -1)]
     got = G.align(row["tokens"], 0, syntax)
     assert [(t["lower"], t["dep"], t["head"]) for t in got] == [("the", "d", 1), ("lid", "d", 2), ("isn't", "ROOT", 2), ("open", "d", 2)]
 
 
 def test_analyzer_text():
-    row = next(document_sentences("x", "> **Note:** Use `it` now.\n> Then stop"))
+    row = next(iter(document_sentences("x", "> **Note:** Use `it` now.\n> Then stop")))
     offset, text = G.analyzer_text(row)
     assert row["text"][offset:].startswith("Use") and text.startswith("Use XXXX now.")
     hidden = G.fit_tokens(row, [token(0, "XXXX", 0, 4, "NOUN")], offset)
