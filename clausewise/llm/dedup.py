@@ -8,16 +8,16 @@
    sketch, whatever the order: only those are indexed (prefix filter), rarest first, which keeps
    values of common passages out of the inverted lists. Values held by one representative
    need no list at all.
-3. Lists of at most ``SMALL`` members are compared directly, a bounded number of pairs for each
-   entry. In a longer list a centre is compared with all others; verified links give components,
-   and after that only pairs of members in different components can matter. As long as those
-   outnumber ``SMALL`` times the entries, further centres retire one by one; where the first
-   round leaves that many, the documents are first indexed anew by their whole sets (a set of n
-   shingles needs a partner that shares one of its rarest n - ceil(0.8 n) + 1, which texts with a
-   common passage do not). Then all that remain are compared directly. So no link is lost, and a
-   group of near copies never expands into all its pairs.
+3. In every list a few centres are compared with all others: linear in the list. Verified links give
+   components, and after that only pairs of members in different components can matter. Lists
+   with at most ``SMALL`` such pairs for each member compare them directly; in the others further
+   centres follow. What is left after ``ROUNDS`` is compared directly if it is bounded by
+   ``PAIRS``; else these documents are indexed anew by their whole sets (a set of n shingles needs
+   a partner that shares one of its rarest n - ceil(0.8 n) + 1, which texts with a common passage
+   do not) and centres go on there. So no link is lost, and a group of near copies never expands
+   into all its pairs.
 4. Pairs meet only if their sizes fit and 512-bit parities of their sketches differ in at most
-   ``DIFFER`` bits, which sketches that share ``NEED`` values do but for a chance below 1e-4. A
+   ``DIFFER`` bits, which linked documents do but for a chance below 1e-5. A
    candidate pair is dropped when the union sketch (the K smallest of both sketches) estimates a
    Jaccard below ``ESTIMATE``, over four standard deviations under 0.8; all others are verified on
    their full sets.
@@ -31,6 +31,7 @@ component only if no row of its group has an id. An empty table gives an empty r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, drop_stored, shingle_hashes, stored, words
@@ -38,10 +39,16 @@ from .common import ascii_lower, drop_stored, shingle_hashes, stored, words
 K = 48
 NEED = 26
 ESTIMATE = 0.5
-#: Members of a list that is compared directly, and pairs for each entry of longer lists.
-SMALL = 48
-#: Bits in which the parities of two sketches may differ: 44 values in one sketch only flip 40 of 512, give or take 5.5.
-DIFFER = 62
+#: Pairs across components for each member up to which a list is compared directly.
+SMALL = 8
+#: Rounds of centres before what is left of long lists is compared directly (up to ``PAIRS``) or indexed anew.
+ROUNDS = 2
+#: Centres of a list in each round.
+CENTRES = 4
+PAIRS = 50_000_000
+#: Bits in which the parities of two sketches may differ. Jaccard 0.8 leaves about 20 values in one sketch only, which
+#: flip 19 of 512 bits, give or take 3; unrelated sketches differ in 77, give or take 5.5.
+DIFFER = 52
 #: Ids of documents whose full sets are needed are broadcast up to this many (8 bytes each), else they shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -97,10 +104,15 @@ def near_parity(a: str, b: str) -> Column:
 
 
 def in_company(lists: DataFrame, reps: DataFrame, sink: list[str]) -> DataFrame:
-    """``lists`` without those of one member, with each list's size and the parities of its members; stored."""
+    """``lists`` of two members or more, one of those with the same members, with the members' parities; stored.
+
+    Copies share most of their values, so most lists repeat another one; members are told by count, 64-bit
+    parity and sum of their hashes.
+    """
     whole = stored(lists, sink)
-    sizes = whole.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1")
-    return stored(whole.join(sizes, "v").join(reps.select("id", *parities(F.col("sketch"))), "id"), sink)
+    sizes = whole.groupBy("v").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.hash("id").cast("long")).alias("h")).filter("c > 1")
+    kept = sizes.groupBy("c", "x", "h").agg(F.min("v").alias("v")).select("v")
+    return stored(whole.join(kept, "v").join(reps.select("id", *parities(F.col("sketch"))), "id"), sink)
 
 
 def sketch_lists(reps: DataFrame, sink: list[str]) -> DataFrame:
@@ -189,49 +201,51 @@ def merge(label: DataFrame, found: DataFrame, sink: list[str]) -> DataFrame:
     return stored(every.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), sink)
 
 
-def with_component(lists: DataFrame, label: DataFrame) -> DataFrame:
-    return lists.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
 def link(reps: DataFrame, sets_of, sink: list[str]) -> DataFrame:
     """(id, comp) for representatives with at least one verified link."""
-    spark = reps.sparkSession
-    label = spark.createDataFrame([], "id long, comp long")
+    label: DataFrame | None = None
+    none = reps.select("id", F.col("id").alias("comp")).limit(0)
+
+    def with_component(lists: DataFrame) -> DataFrame:
+        if label is None:
+            return lists.withColumn("comp", F.col("id"))
+        return lists.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    def join_up(pairs: DataFrame) -> DataFrame:
+    def join_up(pairs: DataFrame) -> DataFrame | None:
         found = stored(verify(pairs, reps, sets_of, sink), sink)
-        return label if found.isEmpty() else merge(label, found, sink)
+        if found.isEmpty():
+            return label
+        return merge(found.sparkSession.createDataFrame([], "id long, comp long") if label is None else label, found, sink)
 
     lists = sketch_lists(reps, sink)
-    label = join_up(direct_pairs(with_component(lists.filter(F.col("members") <= SMALL), label)))
-    lists = lists.filter(F.col("members") > SMALL)
-    total = lists.count()
-    whole_sets = False
-    retired: DataFrame | None = None
-    while total:
-        # members with their present component; retired centres have met their whole list
-        members = with_component(lists, label)
-        counts = members.groupBy("v", "comp").agg(F.count("*").alias("c"))
-        pairs_left = ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("p")
-        cross = stored(counts.groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).select("v", pairs_left).filter("p > 0"), sink)
-        left = cross.agg(F.sum("p")).first()[0] or 0
-        if not left:
-            break
-        open_lists = members.join(cross.select("v"), "v")
-        if left <= SMALL * total:
-            return join_up(direct_pairs(open_lists))
-        if retired is not None and not whole_sets:
-            ids = stored(open_lists.select("id").distinct(), sink)
-            lists = full_lists(stored(sets_of(ids), sink), reps, sink)
-            total, whole_sets, retired = lists.count(), True, None
-            continue
-        fresh = open_lists if retired is None else open_lists.join(retired, ["v", "id"], "left_anti")
-        row = F.struct("own", "id", "n", "comp", *PARITY)
-        centres = stored(fresh.groupBy("v").agg(F.min(row).alias("c")).select("v", "c.*"), sink)
-        met = centres.select("v", "id")
-        retired = met if retired is None else stored(retired.union(met), sink)
-        label = join_up(centre_pairs(open_lists, centres))
-    return label
+    columns = lists.columns
+    for whole_sets in (False, True):
+        rounds = 0
+        while not lists.isEmpty():
+            members = with_component(lists)
+            if rounds:
+                counts = members.groupBy("v", "comp").agg(F.count("*").alias("c"))
+                pairs = ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("p")
+                cross = stored(counts.groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).select("v", "s", pairs).filter("p > 0"), sink)
+                long = F.col("p") > SMALL * F.col("s")
+                left = cross.agg(F.sum("p").alias("p"), F.sum(F.when(long, F.col("p"))).alias("long")).first()
+                # similar texts have found their centres by now: what is left of long lists hardly meets
+                last = not left["long"] or (rounds >= ROUNDS and left["long"] <= PAIRS)
+                members = members.join(cross, "v")
+                rest = None if last else stored(members.filter(long).select(*columns), sink)
+                label = join_up(direct_pairs(members if last else members.filter(~long))) if left["p"] else label
+                if last:
+                    return none if label is None else label
+                if rounds >= ROUNDS and not whole_sets:
+                    lists = full_lists(stored(sets_of(stored(rest.select("id").distinct(), sink)), sink), reps, sink)
+                    break
+                lists, members = rest, with_component(rest)
+            first = W.partitionBy("v").orderBy("own", "id")
+            centres = stored(members.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= CENTRES).select(*columns, "comp"), sink)
+            label = join_up(centre_pairs(members, centres))
+            # a centre has met its whole list
+            lists, rounds = lists.join(centres.select("v", "id"), ["v", "id"], "left_anti").select(*columns), rounds + 1
+    return none if label is None else label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:

@@ -70,11 +70,13 @@ def family_rows():
     return rows
 
 
-@pytest.mark.parametrize(("small", "pairs", "some"), [(48, 5_000_000, 1), (0.2, 10, 9)])
+@pytest.mark.parametrize(("small", "pairs", "some"), [(8, 50_000_000, 1), (0.2, 10, 9)])
 def test_long_lists_lose_no_link(spark, monkeypatch, small, pairs, some):
     """With small bounds the lists of whole sets and further centres come into play."""
     monkeypatch.setattr(dedup, "SMALL", small)
     monkeypatch.setattr(dedup, "PAIRS", pairs)
+    monkeypatch.setattr(dedup, "ROUNDS", 2 if some == 1 else 1)
+    monkeypatch.setattr(dedup, "CENTRES", 4 if some == 1 else 1)
     rows = family_rows()[::some]
     out = dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows, 2)
