@@ -3,6 +3,8 @@ import random
 from collections import defaultdict
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clausewise.llm import chat, quality
@@ -56,6 +58,22 @@ def test_examples_have_all_turns_before_as_context(spark):
     assert all(streams[m["conv_id"]].startswith(m["prompt"] + m["completion"]) for m in full) and len(full) == len(examples)
 
 
+@pytest.mark.parametrize("column", ["example", "context_turns", "context_chars", "loss_start", "loss_end", "dropped"])
+def test_digest_reads_the_examples(spark, monkeypatch, column):
+    """One wrong example row in the middle of a long conversation fails the query or changes its digest."""
+    frame = spark.createDataFrame([(9, k, "user" if k % 2 else "assistant", f"text {k}") for k in range(200)], CHAT)
+    good, right = chat.digest(frame).collect(), chat.expand
+    wrong = (F.col("conv_id") == 9) & (F.col("turn") == 100)
+    bad = lambda e: e.filter(~wrong) if column == "dropped" else e.withColumn(column, F.col(column) + wrong.cast("int"))
+    monkeypatch.setattr(chat, "expand", lambda placed: bad(right(placed)))
+    try:
+        got = chat.digest(frame).collect()
+    except Exception as e:
+        assert "does not fit" in str(e)
+    else:
+        assert sorted(map(tuple, got)) != sorted(map(tuple, good))
+
+
 def test_no_control_string_survives_in_a_text(spark):
     frame = spark.createDataFrame(ROWS, CHAT)
     for x in chat.format_turns(frame).collect():
