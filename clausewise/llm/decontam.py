@@ -10,7 +10,9 @@ fills a placeholder of the item must always map to the same word of the document
 round, for at least ``CONSISTENT`` of the slot pairs. An exact copy maps every slot to itself and
 a question with other numbers or names maps consistently; a chance match of placeholders does not.
 
-A capitalised word is a name unless it follows a sentence stop or a line break. Items with fewer
+Every capitalised word may be a name, wherever it stands and whatever white space is around it. A
+window with such a word also counts when its lower-cased words agree (numbers and units stay
+placeholders), so that a copy in other case is found. Items with fewer
 than five words are one window of all their words. Null or empty texts hold nothing. Rows of equal
 doc_id are judged as one document. Empty tables give empty results.
 """
@@ -40,58 +42,68 @@ NAME, NUM, UNIT, PLAIN = "\x01", "\x02", "\x03", "\x04"
 _EDGE = "(?![\\p{L}\\p{N}])"
 
 
-def marked_words(text: Column) -> Column:
-    """The canonical words of a text, slot words with their mark in front."""
+def marked_words(text: Column, anywhere: bool = False) -> Column:
+    """The canonical words of a text, slot words with their mark in front; names at sentence starts only with ``anywhere``."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x01-\\x04]+", " ")
-    t = F.regexp_replace(t, f"(?<=[^ \\t-\\r.!?:] )(\\p{{Lu}}[\\p{{Ll}}'’-]+){_EDGE}", f"{NAME}$1")
+    before = "(?<![\\p{L}\\p{N}])" if anywhere else "(?<=[^ \\t-\\r.!?:] )"
+    t = F.regexp_replace(t, f"{before}(\\p{{Lu}}[\\p{{Ll}}'’-]+){_EDGE}", f"{NAME}$1")
     t = F.regexp_replace(t, f"(?<![\\p{{L}}\\p{{N}}.,:/{NAME}])([$€£]?[+-]?\\p{{N}}[\\p{{N}}.,:/]*%?){_EDGE}", f" {NUM}$1")
     t = F.regexp_replace(t, f"(?<![\\p{{L}}\\p{{N}}])((?i:{'|'.join(NUMBER_WORDS)})){_EDGE}", f"{NUM}$1")
-    t = F.regexp_replace(t, f"(\\p{{N}}%? ?)((?i:{'|'.join(UNITS)})){_EDGE}", f"$1 {UNIT}$2")
+    t = F.replace(t, F.lit(NAME + NUM), F.lit(NUM))
+    t = F.regexp_replace(t, f"(\\p{{N}}%?[ \\t-\\r]*){NAME}?((?i:{'|'.join(UNITS)})){_EDGE}", f"$1 {UNIT}$2")
     t = F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\\x01-\\x03 \\t-\\r]+", "")
     return F.array_remove(F.split(t, "[ \\t-\\r]+"), "")
 
 
 def windows(marked: Column) -> Column:
-    """Array of (h, slots): the hash of each template window and its slot words, null without slots."""
+    """Array of (at, h, slots, plain): the hash of each template window and its slot words, null without slots.
 
-    def slot_words(parts: list[Column]) -> Column:
-        return F.when(F.least(*parts) < PLAIN, F.concat_ws(" ", *[F.when(p < PLAIN, p) for p in parts]))
+    A window with names comes a second time, as ``plain``: its names are ordinary words there.
+    """
 
-    def of(w: Column) -> Column:
-        template = F.transform(w, lambda x: F.when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
+    def at(w: Column, i: Column) -> list[Column]:
+        return [F.element_at(w, i + k) for k in range(WINDOW)]
+
+    def slot_words(parts: list[Column], least: str) -> Column:
+        return F.when(F.least(*parts) < PLAIN, F.nullif(F.concat_ws(" ", *[F.when((p >= least) & (p < PLAIN), p) for p in parts]), F.lit("")))
 
-        def full(t: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
-                lambda i: F.struct(F.xxhash64(*[F.element_at(t, i + k) for k in range(WINDOW)]).alias("h"), slot_words([F.element_at(w, i + k) for k in range(WINDOW)]).alias("slots")),
-            )
+    def row(i: Column, h: Column, slots: Column, plain: bool) -> Column:
+        return F.struct(i.cast("int").alias("at"), h.alias("h"), slots.alias("slots"), F.lit(plain).alias("plain"))
 
-        short = F.array(F.struct(F.xxhash64(F.lit("short"), F.concat_ws(" ", template)).alias("h"), F.concat_ws(" ", F.filter(w, lambda x: x < PLAIN)).alias("slots")))
-        none = F.array().cast("array<struct<h:bigint,slots:string>>")
-        return F.when(F.size(w) >= WINDOW, let(template, full)).when(F.size(w) > 0, short).otherwise(none)
+    def of(w: Column) -> Column:
+        template = F.transform(w, lambda x: F.when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
+        plain = F.transform(w, lambda x: F.when(x < NUM, F.substr(x, F.lit(2))).when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
+        spots = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
+        full = let(template, lambda t: F.transform(spots, lambda i: row(i - 1, F.xxhash64(*at(t, i)), slot_words(at(w, i), ""), False)))
+        named = F.filter(spots, lambda i: F.least(*at(w, i)) < NUM)
+        again = let(plain, lambda t: F.transform(named, lambda i: row(i - 1, F.xxhash64(*at(t, i)), slot_words(at(w, i), NUM), True)))
+        short = lambda t, least, plain: row(F.lit(0), F.xxhash64(F.lit("short"), F.concat_ws(" ", t)), F.concat_ws(" ", F.filter(w, lambda x: (x >= least) & (x < PLAIN))), plain)
+        none = F.array().cast("array<struct<at:int,h:bigint,slots:string,plain:boolean>>")
+        return F.when(F.size(w) >= WINDOW, F.concat(full, again)).when(F.size(w) > 0, F.array(short(template, "", False), short(plain, NUM, True))).otherwise(none)
 
     return let(marked, of)
 
 
 def exploded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, at, h, slots: one row for each window."""
-    rows = df.filter(F.col(text).isNotNull()).select(key, windows(marked_words(F.col(text))).alias("ws"))
+    """key, at, h, slots, plain: one row for each window."""
+    rows = df.filter(F.col(text).isNotNull()).select(key, windows(marked_words(F.col(text), anywhere=True)).alias("ws"))
     # the outer form: for an inner one Catalyst adds a filter on size(ws), which computes the windows twice
-    out = rows.select(key, F.posexplode_outer("ws").alias("at", "w")).filter("at is not null")
-    return out.select(key, "at", F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))
+    return rows.select(key, F.explode_outer("ws").alias("w")).filter("w is not null").select(key, "w.*")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, item_id, shared, n_windows, slot_pairs, consistent for every item whose windows reach the threshold."""
     items = stored(exploded(benchmark, "item_id"))
-    size = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
+    size = items.groupBy("item_id").agg(F.count_distinct(F.when(~F.col("plain"), F.col("h"))).alias("n_windows"))
     rows = items.count()
-    items = stored(items.join(size, "item_id").select("h", "item_id", "n_windows", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")))
+    # a window counts once, in whichever form it is found
+    own = items.filter(~F.col("plain")).select("item_id", "at", F.col("h").alias("own"))
+    items = stored(items.join(size, "item_id").join(own, ["item_id", "at"]).select("h", "own", "item_id", "n_windows", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct())
     near = F.broadcast(items) if rows <= BROADCAST_WINDOWS else items
     hit = exploded(docs.select("doc_id", F.col(text).alias("text")), "doc_id").join(near, "h")
     shift = F.col("at") - F.col("item_at")
     by_drift = hit.groupBy("doc_id", "item_id", "n_windows", shift.alias("drift")).agg(
-        F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("slots").isNotNull(), F.struct("item_slots", "slots"))).alias("slots")
+        F.collect_set("own").alias("hs"), F.collect_set(F.when(F.col("slots").isNotNull(), F.struct("item_slots", "slots"))).alias("slots")
     )
     band = F.explode(F.array(F.floor(F.col("drift") / BAND) * 2, F.floor((F.col("drift") + BAND // 2) / BAND) * 2 + 1))
     by_band = (

@@ -132,6 +132,26 @@ def test_decontamination(spark):
     assert kept == {x[0] for x in rows} - {d for d, _ in got}
 
 
+def test_names_in_any_case_place_and_space(spark):
+    r = random.Random(5)
+    tom = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have?"
+    start = "Tom has 3 apples and 4 pears. Rex eats all of the pears."
+    item0 = BENCHMARK[0][1]
+    texts = [
+        tom.replace("Tom", "Sam"),
+        start.replace("Tom", "Sam").replace("Rex", "Max"),
+        item0.lower(),
+        item0.lower().replace("12", "30").replace("5", "7"),
+        item0.replace(" Bob", "\nBob").replace(" Ann", "  Ann").replace("12 days", "12\ndays"),
+        f'"{tom.replace("Tom", "Sam")}"',
+        tom.upper(),
+    ]
+    docs = spark.createDataFrame([(k, f"{prose(r, 30)}\n{x}\n{prose(r, 30)}") for k, x in enumerate(texts)] + [(90, tom.replace("does Tom", "does Eve"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item0), (1, tom), (2, start)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.digest(docs, bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1)}
+
+
 def test_decontamination_shuffled_and_empty(spark, monkeypatch):
     docs, bench = documents(spark), spark.createDataFrame([(k, f"{x[1]}") for k, x in enumerate(document_rows()[:5])], "item_id long, text string")
     one = sorted(map(tuple, decontam.digest(docs, bench).collect()))
