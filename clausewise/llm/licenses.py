@@ -1,7 +1,10 @@
 """License scans: normalised segments against licence templates by Dice over word bigrams.
 
-Segments are a text's sentences, lines, paragraphs and the whole text, so that a notice is compared
-alone wherever it stands. Normalised words are lower-case letters and digits. A segment matches a
+Segments are a text's sentences, lines, paragraphs and the whole text, and runs of words across line
+breaks, so that a notice is compared alone wherever it stands. A run of a template
+begins and ends with one of its bigrams and keeps its size bounds; words are letters and digits only,
+so comment marks and line breaks do not count. Of overlapping runs the one with the most common
+bigrams counts, for licences that no segment has named. Normalised words are lower-case letters and digits. A segment matches a
 template when 2 * common / (segment + template bigrams) reaches ``DICE``. Size bounds prune first:
 with a template of b bigrams a match needs b * DICE / (2 - DICE) common bigrams and at most
 b * (2 - DICE) / DICE of its own, so a document whose words hold fewer template bigrams is passed
@@ -59,13 +62,13 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def bigrams(segment: Column) -> Column:
-    """Distinct word bigrams of a segment."""
+def bigrams(segment: Column, distinct: bool = True) -> Column:
+    """Word bigrams of a segment, each once if ``distinct``."""
     w = F.array_remove(F.split(F.lower(segment), "[^\\p{L}\\p{N}]+"), "")
 
     def of(w: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-        return F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) > 1, F.array_distinct(pairs) if distinct else pairs).otherwise(F.array().cast("array<string>"))
 
     return let(w, of)
 
@@ -76,6 +79,34 @@ def segments(text: Column) -> Column:
     return F.array_distinct(F.concat(sentences, lines, F.split(text, "\n[ \\t\\r]*\n"), F.array(text)))
 
 
+def runs(g: Column, name: str, t: list[str], dice: float) -> Column:
+    """The best run (common, dice, license, a, b) from each place of a template's bigrams in the text's bigrams ``g``."""
+    low, high = math.ceil(len(t) * dice / (2 - dice) - 1e-9), math.floor(len(t) * (2 - dice) / dice + 1e-9)
+    grams = F.array(*[F.lit(x) for x in t])
+    none = F.array().cast("array<struct<common:int,dice:double,license:string,a:int,b:int>>")
+
+    def run(a: Column, b: Column) -> Column:
+        def value(s: Column) -> Column:
+            common = F.size(F.array_intersect(s, grams))
+            d = F.round(F.lit(2.0) * common / (F.size(F.array_distinct(s)) + F.lit(len(t))), 6)
+            return F.struct(d.alias("dice"), common.alias("common"), a.alias("a"), b.alias("b"))
+
+        return let(F.slice(g, a + 1, b - a + 1), value)
+
+    def best(spots: Column) -> Column:
+        def at(a: Column, i: Column) -> Column:
+            # repeated bigrams count once, so a run can hold more places than ``high``
+            ends = F.filter(F.slice(spots, i + 1, 2 * high), lambda b: b < a + 2 * high)
+            return let(ends, lambda e: F.when(F.size(e) >= low, F.array_max(F.transform(e, lambda b: run(a, b)))))
+
+        return F.filter(F.transform(spots, at), lambda m: m["dice"] >= dice)
+
+    held = F.size(F.array_intersect(g, grams)) >= low
+    spots = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(grams, F.get(g, i)))
+    shaped = lambda m: F.struct(m["common"].alias("common"), m["dice"].alias("dice"), F.lit(name).alias("license"), m["a"].alias("a"), m["b"].alias("b"))
+    return F.when(held, F.transform(let(spots, best), shaped)).otherwise(none)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", dice: float = DICE) -> DataFrame:
     """doc_id, license, dice for every template that a segment of the document matches."""
     grams = {k: template_bigrams(v) for k, v in (templates or TEMPLATES).items()}
@@ -99,10 +130,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
         top = lambda h, n: F.array_max(F.filter(h, lambda m: m["license"] == n))
         return let(hits, lambda h: F.transform(names(h), lambda n: top(h, n)))
 
-    fitting = F.filter(F.transform(segments(t), bigrams), lambda s: F.size(s).between(least, most))
-    near = docs.filter(held >= least).select("doc_id", fitting.alias("sets"))
+    fitting = F.filter(F.transform(segments(t), lambda s: bigrams(s)), lambda s: F.size(s).between(least, most))
+    near = docs.filter(held >= least).select("doc_id", found(fitting).alias("named"), bigrams(t, distinct=False).alias("g"))
+
+    def apart(every: Column) -> Column:
+        beaten = lambda m: F.exists(every, lambda o: (o["a"] <= m["b"]) & (m["a"] <= o["b"]) & (F.struct(o["common"], o["dice"], o["license"]) > F.struct(m["common"], m["dice"], m["license"])))
+        return F.transform(F.filter(every, lambda m: ~beaten(m)), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license")))
+
+    wrapped = let(F.concat(*[runs(F.col("g"), k, g, dice) for k, g in grams.items()]), apart)
+
+    def more(x: Column) -> Column:
+        names = F.array_except(F.transform(x, lambda m: m["license"]), F.transform("named", lambda m: m["license"]))
+        return F.transform(names, lambda n: F.array_max(F.filter(x, lambda m: m["license"] == n)))
+
     # the outer form: for an inner one Catalyst adds a filter on the array's size, which computes it twice
-    hits = near.select("doc_id", F.explode_outer(found(F.col("sets"))).alias("m")).filter("m is not null")
+    hits = near.select("doc_id", F.explode_outer(F.concat("named", let(wrapped, more))).alias("m")).filter("m is not null")
     return hits.select("doc_id", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
 
 

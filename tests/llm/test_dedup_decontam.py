@@ -202,3 +202,19 @@ def test_licenses(spark):
         got.setdefault(x["doc_id"], {})[x["license"]] = x["dice"]
     assert got == {k: d for k, t in enumerate(texts) if (d := dice_brute(t))}
     assert licenses.digest(documents(spark)).count() == 0 and licenses.digest(empty(spark)).count() == 0
+
+
+def test_licenses_across_lines(spark):
+    r = random.Random(4)
+    t = licenses.TEMPLATES
+    wrap = lambda x, mark, n=7: "".join(f"{mark}{' '.join(x.split(' ')[k:k + n])}\n" for k in range(0, len(x.split(" ")), n))
+    code = "\n".join(f"int {prose(r, 1)} = {k};" for k in range(40))
+    texts = {
+        "GPL-3.0-notice": f"{prose(r, 9)}\n{prose(r, 6)} {t['GPL-3.0-notice'].replace('General ', 'General' + chr(10))} {prose(r, 9)}\n{prose(r, 9)}",
+        "GPL-3.0-header": f"/*\n * {prose(r, 12)}\n *\n{wrap(t['GPL-3.0-header'], ' * ')} *\n */\n{code}",
+        "MIT-permission": f"# {prose(r, 12)}\n#\n{wrap(t['MIT-permission'], '# ')}#\n{code}",
+        "ISC-permission": f"// {prose(r, 12)}\n//\n{wrap(t['ISC-permission'], '// ', 5)}//\n{code}",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {(x["doc_id"], x["license"]) for x in licenses.digest(docs).collect() if x["dice"] >= 0.95}
+    assert got == set(enumerate(texts))
