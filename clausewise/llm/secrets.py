@@ -1,6 +1,6 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long runs of key characters. Each gets features of its length, its characters'
+Candidates are long runs of key characters, values assigned to a key word and passwords in URLs. Each gets features of its length, its characters'
 transitions (mean log-probability under a model of ordinary words, entropy, shares of digits and
 cases), its coverage by dictionary words, whether it is part of a path or URL, and its
 neighbouring words. A random forest trained here on labelled findings decides which candidates
@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 
 #: Candidates: key characters, at least 16, with a digit or a sign among them; or an assigned value of at least 8.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_=\-]*[0-9+/_=\-])[A-Za-z0-9+/_\-]{16,}={0,2}|(?<=[\"'=:])[A-Za-z0-9!@#$%^&*+/_\-]{8,}(?=[\"'])")
+#: Further candidates: any value of at least 8 after a key word and = or :, quoted or not, and the password of a URL.
+ASSIGNED = re.compile(r"(?i:token|secret|password|passwd|passphrase|pass|pwd|key|auth|bearer|credentials?)[\"']?[ \t]*(?:=>|:=|[=:])[ \t]*[\"']?((?:(?!&\w+=)[^\s\"'`<>,;]){8,})")
+URL_PASSWORD = re.compile(r"://[^\s:/@\"'<>]*:([^\s/\"'<>]{4,})@")
 AROUND = 48
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "access", "private")
 SAFE_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision", "example", "integrity", "data", "id")
 FOREST_TREES, FOREST_DEPTH = 24, 9
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 6000
 KEEP = 0.5
 
 WORDS = "the and that have for not with you this but from they say her she will one all would there their what out about who get which when make can like time just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most us user file name value path index data config service request response message server client version build release system default option table column record status handler manager factory builder controller static public private return string number object".split()
@@ -82,6 +85,8 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", candidate))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", candidate))),
         float(len(set(low)) <= 4),
+        float(after[:1] == "@" and "://" in before),
+        float(bool(re.match(r"[$%]?[{(]|\$[A-Za-z_]|%\w+%|\w+(?:\.\w+)*[(\[]", candidate))),
     ]
 
 
@@ -95,12 +100,22 @@ def labelled_findings(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str,
     word = lambda: r.choice(WORDS) if r.random() < 0.5 else pick("etaoinshrdlu", r.randint(3, 9))
     prose = lambda n: " ".join(word() for _ in range(n))
     out = []
-    for _ in range(rows // 2):
+    for _ in range(rows // 4):
         key = r.choice(("token", "api_key", "secret", "password", "AUTH_TOKEN", "access_key", "client_secret", "apikey"))
         mark = r.choice((" = ", "=", ": ", ":"))
         quote = r.choice(('"', "'", ""))
         value = r.choice((pick(hexa, r.choice((32, 40, 64))), pick(alnum, r.randint(20, 48)), "AKIA" + pick(upper + digits, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 40), pick(alnum + "+/", 40) + "=" * r.choice((0, 1, 2)), pick(alnum + "!@#$%", r.randint(10, 16))))
         out.append((f"{prose(3)} {key}{mark}{quote}", value, f"{quote} {prose(2)}", 1))
+        # values without quotes and passwords of URLs, and what stands in their places
+        phrase = "".join(r.choice((word(), word().capitalize())) for _ in range(r.randint(1, 2))) + pick(digits + "!@#$%^&", r.randint(1, 3)) + pick(alnum, r.randint(0, 4))
+        bare = r.choice((pick(alnum + "!@#$%^&", r.randint(8, 16)), pick(upper.lower(), r.randint(14, 32)), upper.lower()[: r.randint(16, 26)], phrase if len(phrase) >= 8 else pick(alnum, 10)))
+        if r.random() < 0.25:
+            out.append((f"{prose(3)} {r.choice(('https', 'postgres', 'ftp', 'redis'))}://{word()}:", r.choice((bare, pick(alnum, r.randint(8, 12)))), f"@{word()}.org {prose(2)}", 1))
+        else:
+            out.append((f"{prose(3)} {r.choice(('', 'db_', 'DB_'))}{r.choice((key, 'pwd', 'passwd'))}{mark}", bare, f" {prose(2)}", 1))
+        plain = max((word() for _ in range(9)), key=len)
+        filler = r.choice((plain, f"{plain}.", "".join((plain, word())), f"${plain.upper()}", f"${{{plain}}}", f"${{{word().upper()}_{plain.upper()}}}", f"${word().upper()}_{plain.upper()}", f"{plain}({word()})", f"os.environ[{word()}]", f"{word()}.{plain}.{word()}", "*" * r.randint(8, 12), "required", "undefined", "something", "/".join(("", word(), plain))))
+        out.append((f"{prose(3)} {r.choice((key, 'pwd', 'key'))}{mark}", filler, f" {prose(2)}", 0))
         kind = r.randrange(8)
         before, after = f"{prose(4)} ", f" {prose(3)}"
         if kind == 0:
@@ -157,7 +172,9 @@ def _best_cut(x: np.ndarray, y: np.ndarray, tried: np.ndarray) -> tuple[float, i
         gain[v[:-1] == v[1:]] = 0
         i = int(gain.argmax()) if len(gain) else 0
         if len(gain) and gain[i] > best[0] + 1e-9:
-            best = (float(gain[i]), int(f), float((v[i] + v[i + 1]) / 2))
+            middle = float((v[i] + v[i + 1]) / 2)
+            # neighbouring floats have no number between them
+            best = (float(gain[i]), int(f), middle if middle < v[i + 1] else float(v[i]))
     return best
 
 
@@ -190,13 +207,29 @@ def train(findings: list[tuple[str, str, str, int]], seed: int = 5) -> Forest:
 
 
 def find(text: str) -> list[tuple[int, int, list[float]]]:
+    """(start, end, features) of every candidate; candidates can overlap."""
+    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    for m in (*ASSIGNED.finditer(text), *URL_PASSWORD.finditer(text)):
+        s, e = m.span(1)
+        spans.add((s, s + len(text[s:e].rstrip(".,:") if m.re is ASSIGNED else text[s:e])))
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        out.append((s, e, features(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND])))
+    for s, e in sorted(x for x in spans if x[0] < x[1]):
+        out.append((s, e, features(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND])))
     return out
 
 
+def apart(rows: list[int], places: list[tuple[int, int]], p: np.ndarray) -> list[int]:
+    """Of overlapping findings in a row of the batch, the longest (ties: the likeliest)."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for k in sorted(range(len(rows)), key=lambda k: (places[k][0] - places[k][1], -p[k], places[k][0])):
+        s, e = places[k]
+        if all(e <= a or b <= s for a, b in taken.setdefault(rows[k], [])):
+            taken[rows[k]].append((s, e))
+            out.append(k)
+    return sorted(out)
+
+
 def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", keep: float = KEEP) -> DataFrame:
     """doc_id, start, end, probability of every finding that the forest keeps."""
     sent = docs.sparkSession.sparkContext.broadcast(forest or train(labelled_findings()))
@@ -204,16 +237,18 @@ def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", keep
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for b in batches:
-            ids, places, x = [], [], []
-            for doc_id, t in zip(b["doc_id"], b["text"]):
+            ids, rows, places, x = [], [], [], []
+            for row, (doc_id, t) in enumerate(zip(b["doc_id"], b["text"])):
                 for s, e, f in find(t or ""):
                     ids.append(doc_id)
+                    rows.append(row)
                     places.append((s, e))
                     x.append(f)
             if not x:
                 continue
             p = model.predict(np.array(x, float))
-            hit = p >= keep
+            hit = np.flatnonzero(p >= keep)
+            hit = hit[apart([rows[k] for k in hit], [places[k] for k in hit], p[hit])] if len(hit) else hit
             at = np.array(places)[hit]
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64")[hit].values, "start": at[:, 0], "end": at[:, 1], "probability": np.round(p[hit], 6)})
 

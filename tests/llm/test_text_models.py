@@ -112,3 +112,13 @@ def test_secrets(spark):
     got = [(x["doc_id"], texts[x["doc_id"]][x["start"] : x["end"]]) for x in secrets.digest(docs).collect()]
     assert (0, key) in got and {d for d, _ in got} == {0, 2}
     assert secrets.digest(empty(spark)).count() == 0 and secrets.digest(documents(spark)).count() >= 0
+
+
+def test_short_and_unquoted_secrets(spark):
+    texts = ["password=S3cr3t!Pass99", "db_password = hunter2xyz9", "pwd=ab!cD3#fgH1jkLmN", "https://user:S3cr3tPw9@host", "token: abcdefghijklmnopqrstuvwxyz"]
+    values = ["S3cr3t!Pass99", "hunter2xyz9", "ab!cD3#fgH1jkLmN", "S3cr3tPw9", "abcdefghijklmnopqrstuvwxyz"]
+    plain = ["password: required", "password = something", "token = ${SECRET_VALUE}", "http://localhost:8080/index", "the key: understand your users first"]
+    every = [f"{a} {x} {b}" for x in texts + plain for a, b in (("we set", "for now"), ("", ""))]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = [(x["doc_id"], every[x["doc_id"]][x["start"] : x["end"]]) for x in secrets.digest(docs).collect()]
+    assert sorted(got) == [(2 * k + j, v) for k, v in enumerate(values) for j in (0, 1)]
