@@ -218,3 +218,10 @@ def test_licenses_across_lines(spark):
     docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
     got = {(x["doc_id"], x["license"]) for x in licenses.digest(docs).collect() if x["dice"] >= 0.95}
     assert got == set(enumerate(texts))
+
+
+def test_headers_of_one_family_are_told_apart(spark):
+    gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    texts = {"GPL-3.0-header": ("program", "", "3"), "GPL-2.0-header": ("program", "", "2"), "LGPL-2.1-header": ("library", "Lesser ", "2.1"), "AGPL-3.0-header": ("program", "Affero ", "3")}
+    docs = spark.createDataFrame([(k, gnu.format(*x)) for k, x in enumerate(texts.values())], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["license"]) for x in licenses.digest(docs).collect()) == list(enumerate(texts))
