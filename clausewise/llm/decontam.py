@@ -3,11 +3,12 @@
 Texts become template words: numbers, names and units are replaced by typed placeholders, all
 other words are lower-cased and lose their punctuation. Windows of five template words of the
 benchmark are hash-joined with those of the documents. Matches gather by document, item and drift
-(the difference of the window positions), and drifts gather in overlapping bands, so that a passage
-with a few inserted or lost words stays together. A document holds an item when the windows they
-share in a band reach 0.8 of the item's distinct windows. Then the slots are compared: a word that
-fills a placeholder of the item must always map to the same word of the document and the other way
-round, for at least ``CONSISTENT`` of the slot pairs. An exact copy maps every slot to itself and
+(the difference of the window positions). A document holds an item when the windows they share reach
+0.8 of the item's distinct windows, over all drifts of the document or in one of the overlapping bands
+of drifts, each judged by itself. Then the slots of the drift with most windows are compared: a word
+that fills a placeholder of the item must always map to the same word of the document, for at least
+``CONSISTENT`` of the slot pairs. Two slots can have one value by chance, so the other way round half
+is enough, and is asked for from ``MANY`` pairs on. An exact copy maps every slot to itself and
 a question with other numbers or names maps consistently; a chance match of placeholders does not.
 
 Every capitalised word may be a name, wherever it stands and whatever white space is around it. A
@@ -27,6 +28,8 @@ from .common import let, stored
 WINDOW = 5
 SIMILARITY = 0.8
 CONSISTENT = 0.9
+#: From so many slot pairs on, the document's words must be at least half as many as the pairs.
+MANY = 10
 #: Width of a drift band; bands overlap by half.
 BAND = 16
 #: The benchmark's windows are broadcast up to this many (about 100 bytes each), else the join shuffles.
@@ -105,7 +108,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     by_drift = hit.groupBy("doc_id", "item_id", "n_windows", shift.alias("drift")).agg(
         F.collect_set("own").alias("hs"), F.collect_set(F.when(F.col("slots").isNotNull(), F.struct("item_slots", "slots"))).alias("slots")
     )
-    band = F.explode(F.array(F.floor(F.col("drift") / BAND) * 2, F.floor((F.col("drift") + BAND // 2) / BAND) * 2 + 1))
+    # the null band is the whole document
+    band = F.explode(F.array(F.lit(None).cast("long"), F.floor(F.col("drift") / BAND) * 2, F.floor((F.col("drift") + BAND // 2) / BAND) * 2 + 1))
     by_band = (
         by_drift.withColumn("band", band)
         .groupBy("doc_id", "item_id", "n_windows", "band")
@@ -119,9 +123,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
         "n_windows",
         "shared",
         F.size("pairs").alias("slot_pairs"),
-        F.least(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))), F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))).alias("mapped"),
+        F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))).alias("mapped"),
+        F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))).alias("values"),
     )
-    judged = counted.withColumn("consistent", F.col("mapped") >= CONSISTENT * F.col("slot_pairs"))
+    varied = (F.col("slot_pairs") < MANY) | (F.col("values") * 2 >= F.col("slot_pairs"))
+    judged = counted.withColumn("consistent", (F.col("mapped") >= CONSISTENT * F.col("slot_pairs")) & varied)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "shared", "slot_pairs", "n_windows")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.shared").alias("shared"), F.col("m.n_windows").alias("n_windows"), F.col("m.slot_pairs").alias("slot_pairs"), F.col("m.consistent").alias("consistent"))
 

@@ -225,3 +225,15 @@ def test_headers_of_one_family_are_told_apart(spark):
     texts = {"GPL-3.0-header": ("program", "", "3"), "GPL-2.0-header": ("program", "", "2"), "LGPL-2.1-header": ("library", "Lesser ", "2.1"), "AGPL-3.0-header": ("program", "Affero ", "3")}
     docs = spark.createDataFrame([(k, gnu.format(*x)) for k, x in enumerate(texts.values())], "doc_id long, text string")
     assert sorted((x["doc_id"], x["license"]) for x in licenses.digest(docs).collect()) == list(enumerate(texts))
+
+
+def test_equal_values_and_halves_apart(spark):
+    r = random.Random(6)
+    item0 = BENCHMARK[0][1]
+    same = item0.replace("Ann", "Mia").replace("Bob", "Tom").replace("12", "7").replace("5", "7")
+    long = prose(r, 60)
+    words = long.split(" ")
+    halves = " ".join(words[:30] + prose(r, 20).split(" ") + words[30:])
+    docs = spark.createDataFrame([(0, f"{prose(r, 30)}\n{same}"), (1, f"{prose(r, 30)} {halves} {prose(r, 30)}"), (2, " ".join(words[:30])), (3, "7 7 7 7 7 7 " * 30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item0), (1, long), (2, "1 2 3 4 5 6 7 8 9 10 11 12 13")], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.digest(docs, bench).collect()} == {(0, 0), (1, 1)}
