@@ -70,19 +70,33 @@ def family_rows():
     return rows
 
 
-@pytest.mark.parametrize(("small", "pairs", "some"), [(8, 50_000_000, 1), (0.2, 10, 9)])
-def test_long_lists_lose_no_link(spark, monkeypatch, small, pairs, some):
-    """With small bounds the lists of whole sets and further centres come into play."""
-    monkeypatch.setattr(dedup, "SMALL", small)
-    monkeypatch.setattr(dedup, "PAIRS", pairs)
-    monkeypatch.setattr(dedup, "ROUNDS", 2 if some == 1 else 1)
-    monkeypatch.setattr(dedup, "CENTRES", 4 if some == 1 else 1)
-    rows = family_rows()[::some]
+@pytest.mark.parametrize(("short", "rounds", "centres"), [(16, 2, 2), (1, 1, 1), (3, 2, 1)])
+def test_long_lists_lose_no_link(spark, monkeypatch, short, rounds, centres):
+    """With small bounds most links must come from the lists of whole sets."""
+    monkeypatch.setattr(dedup, "SHORT", short)
+    monkeypatch.setattr(dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(dedup, "CENTRES", centres)
+    rows = family_rows()
     out = dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows, 2)
     assert {r["doc_id"]: r["component_id"] for r in out} == want
 
 
+def test_one_id_is_one_document_and_null_ids_are_compared(spark):
+    """An id with two texts joins their groups; null ids link to near copies and give no id of their own."""
+    r = random.Random(6)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (3, f"{b} more"), (9, f"{a} more"), (None, f"{a} other"), (None, c), (None, f"{c} more"), (None, c), (7, d), (7, ""), (7, None), (None, None), (8, f"{d} x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(x) for x in dedup.near_duplicates(frame, 2).select("doc_id", "component_id", "kept").collect()]
+    named = Counter(x for x in out if x[0] is not None)
+    assert named == Counter({(5, 3, False): 2, (3, 3, True): 1, (9, 3, False): 1, (7, 7, True): 3, (8, 7, False): 1})
+    assert sorted((str(x[1]), x[2]) for x in out if x[0] is None)[0] == ("3", False) and sum(x[0] is None and x[1] is None for x in out) == 4
+    left = [tuple(x) for x in dedup.deduplicate(frame, 2).collect()]
+    assert Counter(x[0] for x in left) == Counter({3: 1, 7: 3, None: 2})
+    assert [x for x in left if x[0] is None and x[1]][0][1] in (c, f"{c} more")
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     docs = documents(spark)
     out = dedup.deduplicate(docs)
@@ -90,7 +104,7 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.collect()} == {i for i, c in want.items() if i == c}
     nulls = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, "a b c d e f")], "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in dedup.deduplicate(nulls).collect()) == ["1", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in dedup.deduplicate(nulls).collect()) == ["1", "None"]
 
 
 BENCHMARK = [
