@@ -15,7 +15,7 @@ Every capitalised word may be a name, wherever it stands and whatever white spac
 window with such a word also counts when its lower-cased words agree (numbers and units stay
 placeholders), so that a copy in other case is found. Items with fewer
 than five words are one window of all their words. Null or empty texts hold nothing. Rows of equal
-doc_id are judged as one document. Empty tables give empty results.
+doc_id are judged as one document, rows without one by their text. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import drop_stored, let, stored
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -58,67 +58,123 @@ def marked_words(text: Column, anywhere: bool = False) -> Column:
     return F.array_remove(F.split(t, "[ \\t-\\r]+"), "")
 
 
+def templates(w: Column) -> Column:
+    """The words with every slot word replaced by its mark."""
+    return F.transform(w, lambda x: F.when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
+
+
+def plainly(w: Column) -> Column:
+    """The same, but names are ordinary words."""
+    return F.transform(w, lambda x: F.when(x < NUM, F.substr(x, F.lit(2))).when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
+
+
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def window_hash(hashes: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.element_at(hashes, i + k) for k in range(WINDOW)])
+
+
+def short_hash(w: Column) -> Column:
+    return F.xxhash64(F.lit("short"), F.concat_ws(" ", w))
+
+
+def spots_of_names(w: Column) -> Column:
+    """Starts of the windows that hold a name."""
+    at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i) < NUM)
+    return F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.lit(1), p - (WINDOW - 1)), F.least(p, F.size(w) - (WINDOW - 1))))))
+
+
+def window_hashes(marked: Column) -> Column:
+    """Distinct hashes of a text's template windows, and of those with names as ordinary words."""
+
+    def of(w: Column) -> Column:
+        full = let(word_hashes(templates(w)), lambda t: F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: window_hash(t, i)))
+        again = let(word_hashes(plainly(w)), lambda t: F.transform(spots_of_names(w), lambda i: window_hash(t, i)))
+        none = F.array().cast("array<bigint>")
+        return F.when(F.size(w) >= WINDOW, F.concat(full, again)).when(F.size(w) > 0, F.array(short_hash(templates(w)), short_hash(plainly(w)))).otherwise(none)
+
+    return F.array_distinct(let(marked, of))
+
+
 def windows(marked: Column) -> Column:
     """Array of (at, h, slots, plain): the hash of each template window and its slot words, null without slots.
 
     A window with names comes a second time, as ``plain``: its names are ordinary words there.
     """
 
-    def at(w: Column, i: Column) -> list[Column]:
-        return [F.element_at(w, i + k) for k in range(WINDOW)]
-
-    def slot_words(parts: list[Column], least: str) -> Column:
-        return F.when(F.least(*parts) < PLAIN, F.nullif(F.concat_ws(" ", *[F.when((p >= least) & (p < PLAIN), p) for p in parts]), F.lit("")))
+    def slot_words(w: Column, least: str) -> Column:
+        return F.nullif(F.concat_ws(" ", F.filter(w, lambda x: (x >= least) & (x < PLAIN))), F.lit(""))
 
     def row(i: Column, h: Column, slots: Column, plain: bool) -> Column:
         return F.struct(i.cast("int").alias("at"), h.alias("h"), slots.alias("slots"), F.lit(plain).alias("plain"))
 
     def of(w: Column) -> Column:
-        template = F.transform(w, lambda x: F.when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
-        plain = F.transform(w, lambda x: F.when(x < NUM, F.substr(x, F.lit(2))).when(x < PLAIN, F.substring(x, 1, 1)).otherwise(x))
+        five = lambda i: F.slice(w, i, F.lit(WINDOW))
         spots = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-        full = let(template, lambda t: F.transform(spots, lambda i: row(i - 1, F.xxhash64(*at(t, i)), slot_words(at(w, i), ""), False)))
-        named = F.filter(spots, lambda i: F.least(*at(w, i)) < NUM)
-        again = let(plain, lambda t: F.transform(named, lambda i: row(i - 1, F.xxhash64(*at(t, i)), slot_words(at(w, i), NUM), True)))
-        short = lambda t, least, plain: row(F.lit(0), F.xxhash64(F.lit("short"), F.concat_ws(" ", t)), F.concat_ws(" ", F.filter(w, lambda x: (x >= least) & (x < PLAIN))), plain)
+        full = let(word_hashes(templates(w)), lambda t: F.transform(spots, lambda i: row(i - 1, window_hash(t, i), slot_words(five(i), ""), False)))
+        again = let(word_hashes(plainly(w)), lambda t: F.transform(spots_of_names(w), lambda i: row(i - 1, window_hash(t, i), slot_words(five(i), NUM), True)))
+        both = F.array(row(F.lit(0), short_hash(templates(w)), slot_words(w, ""), False), row(F.lit(0), short_hash(plainly(w)), slot_words(w, NUM), True))
         none = F.array().cast("array<struct<at:int,h:bigint,slots:string,plain:boolean>>")
-        return F.when(F.size(w) >= WINDOW, F.concat(full, again)).when(F.size(w) > 0, F.array(short(template, "", False), short(plain, NUM, True))).otherwise(none)
+        return F.when(F.size(w) >= WINDOW, F.concat(full, again)).when(F.size(w) > 0, both).otherwise(none)
 
     return let(marked, of)
 
 
-def exploded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, at, h, slots, plain: one row for each window."""
-    rows = df.filter(F.col(text).isNotNull()).select(key, windows(marked_words(F.col(text), anywhere=True)).alias("ws"))
+def exploded(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The keys, at, h, slots, plain: one row for each window."""
+    rows = df.filter(F.col(text).isNotNull()).select(*keys, windows(marked_words(F.col(text), anywhere=True)).alias("ws"))
     # the outer form: for an inner one Catalyst adds a filter on size(ws), which computes the windows twice
-    return rows.select(key, F.explode_outer("ws").alias("w")).filter("w is not null").select(key, "w.*")
+    return rows.select(*keys, F.explode_outer("ws").alias("w")).filter("w is not null").select(*keys, "w.*")
+
+
+#: A document: its doc_id, or without one the hash of its text.
+KEYS = ["doc", "unnamed"]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, item_id, shared, n_windows, slot_pairs, consistent for every item whose windows reach the threshold."""
-    items = stored(exploded(benchmark, "item_id"))
+def document_key(text: str) -> list[Column]:
+    return [F.coalesce(F.col("doc_id"), F.xxhash64(F.col(text))).alias("doc"), F.col("doc_id").isNull().alias("unnamed")]
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """A stored table, broadcast where its rows keep to the bound."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", sink: list[str] | None = None) -> DataFrame:
+    """doc, unnamed, item_id, shared, n_windows, slot_pairs, consistent for every item whose windows reach the threshold.
+
+    Hashes alone pick the documents that share enough windows with an item; only those have positions and slots computed.
+    """
+    sink = [] if sink is None else sink
+    items = stored(exploded(benchmark, ["item_id"]), sink)
     size = items.groupBy("item_id").agg(F.count_distinct(F.when(~F.col("plain"), F.col("h"))).alias("n_windows"))
-    rows = items.count()
     # a window counts once, in whichever form it is found
     own = items.filter(~F.col("plain")).select("item_id", "at", F.col("h").alias("own"))
-    items = stored(items.join(size, "item_id").join(own, ["item_id", "at"]).select("h", "own", "item_id", "n_windows", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct())
-    near = F.broadcast(items) if rows <= BROADCAST_WINDOWS else items
-    hit = exploded(docs.select("doc_id", F.col(text).alias("text")), "doc_id").join(near, "h")
+    whole = items.join(size, "item_id").join(own, ["item_id", "at"])
+    items = stored(whole.select("h", "own", "item_id", "n_windows", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct(), sink)
+    near = small(items, BROADCAST_WINDOWS)
+    texts = docs.select(*document_key(text), F.col(text).alias("text")).filter("text is not null")
+    seen = texts.select(*KEYS, F.explode_outer(window_hashes(marked_words(F.col("text"), anywhere=True))).alias("h")).filter("h is not null")
+    shared = seen.join(small(stored(items.select("h", "own", "item_id", "n_windows").distinct(), sink), BROADCAST_WINDOWS), "h").groupBy(*KEYS, "item_id", "n_windows").agg(F.size(F.collect_set("own")).alias("shared"))
+    picked = stored(shared.filter(F.col("shared") >= SIMILARITY * F.col("n_windows")).select(*KEYS).distinct(), sink)
+    hit = exploded(texts.join(small(picked, BROADCAST_IDS), KEYS, "left_semi"), KEYS).join(near, "h")
     shift = F.col("at") - F.col("item_at")
-    by_drift = hit.groupBy("doc_id", "item_id", "n_windows", shift.alias("drift")).agg(
+    by_drift = hit.groupBy(*KEYS, "item_id", "n_windows", shift.alias("drift")).agg(
         F.collect_set("own").alias("hs"), F.collect_set(F.when(F.col("slots").isNotNull(), F.struct("item_slots", "slots"))).alias("slots")
     )
     # the null band is the whole document
     band = F.explode(F.array(F.lit(None).cast("long"), F.floor(F.col("drift") / BAND) * 2, F.floor((F.col("drift") + BAND // 2) / BAND) * 2 + 1))
     by_band = (
         by_drift.withColumn("band", band)
-        .groupBy("doc_id", "item_id", "n_windows", "band")
+        .groupBy(*KEYS, "item_id", "n_windows", "band")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("shared"), F.max_by("slots", F.struct(F.size("hs"), -F.abs("drift"), "drift")).alias("slots"))
         .filter(F.col("shared") >= SIMILARITY * F.col("n_windows"))
     )
     pairs = F.array_distinct(F.flatten(F.transform("slots", lambda s: F.zip_with(F.split(s["item_slots"], " "), F.split(s["slots"], " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))))
     counted = by_band.withColumn("pairs", pairs).select(
-        "doc_id",
+        *KEYS,
         "item_id",
         "n_windows",
         "shared",
@@ -128,21 +184,27 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     )
     varied = (F.col("slot_pairs") < MANY) | (F.col("values") * 2 >= F.col("slot_pairs"))
     judged = counted.withColumn("consistent", (F.col("mapped") >= CONSISTENT * F.col("slot_pairs")) & varied)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "shared", "slot_pairs", "n_windows")).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.shared").alias("shared"), F.col("m.n_windows").alias("n_windows"), F.col("m.slot_pairs").alias("slot_pairs"), F.col("m.consistent").alias("consistent"))
+    best = judged.groupBy(*KEYS, "item_id").agg(F.max(F.struct("consistent", "shared", "slot_pairs", "n_windows")).alias("m"))
+    return best.select(*KEYS, "item_id", F.col("m.shared").alias("shared"), F.col("m.n_windows").alias("n_windows"), F.col("m.slot_pairs").alias("slot_pairs"), F.col("m.consistent").alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity of every item that a document holds with consistent slots."""
-    found = find_items(docs, benchmark).filter("consistent")
-    return found.select("doc_id", "item_id", F.round(F.col("shared") / F.col("n_windows"), 6).alias("similarity"), F.col("slot_pairs").cast("long").alias("slot_pairs"))
+    sink: list[str] = []
+    found = find_items(docs, benchmark, sink=sink).filter("consistent")
+    doc_id = F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id")
+    out = stored(found.select(doc_id, "item_id", F.round(F.col("shared") / F.col("n_windows"), 6).alias("similarity"), F.col("slot_pairs").cast("long").alias("slot_pairs")))
+    drop_stored(docs.sparkSession, sink)
+    return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with the columns of ``docs``."""
-    gone = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct())
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    sink: list[str] = []
+    gone = stored(find_items(docs, benchmark, sink=sink).filter("consistent").select(F.col("doc").alias("_doc"), F.col("unnamed").alias("_unnamed")).distinct())
+    drop_stored(docs.sparkSession, sink)
+    doc, unnamed = document_key("text")
+    return docs.join(small(gone, BROADCAST_IDS), (doc == F.col("_doc")) & (unnamed == F.col("_unnamed")), "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
