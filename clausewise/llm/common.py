@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,14 +49,14 @@ def shingle_hashes(word_list: Column, size: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Only where that setting is absent (tests on one machine) a local folder is set for the session.
+    Where that setting is absent, one machine's executors (tests, bench) share its temporary folder; on a
+    cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/clausewise-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cw-{uuid.uuid4().hex}"
 
 

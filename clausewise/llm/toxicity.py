@@ -50,16 +50,6 @@ def split_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def substrings(tokens: set[str]) -> set[str]:
-    """Substrings of 4 to 10 signs of the words; a blank at either end stands for the word's border."""
-    out = set()
-    for w in tokens:
-        x = f" {w} "
-        for n in range(4, 11):
-            out.update(x[i : i + n] for i in range(len(x) - n + 1))
-    return out
-
-
 def one_of_each_family(texts: list[str]) -> list[list[str]]:
     """Word lists without those that share a minimal 3-word hash with an earlier one (near copies)."""
     seen: set[int] = set()
@@ -73,14 +63,23 @@ def one_of_each_family(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def document_frequency(docs: list[list[str]], bound: int = 800_000) -> Counter:
-    """In how many texts a substring occurs. Rare ones are dropped when the table passes ``bound``."""
-    count: Counter = Counter()
-    for w in docs:
-        count.update(substrings(set(w)))
-        if len(count) > bound:
-            count = Counter({k: c for k, c in count.items() if c > 1})
-    return count
+def document_frequency(docs: list[list[str]], least: int = 2) -> Counter:
+    """In how many texts a substring of 4 to 10 signs of a word occurs, where these are ``least`` or more.
+
+    A blank at either end stands for the word's border. Lengths are counted one after the other: a substring
+    can only be frequent if the two that are one sign shorter are, so the table stays small without a bound.
+    """
+    edged = [{f" {w} " for w in words} for words in docs]
+    out: Counter = Counter()
+    shorter: Counter | None = None
+    for n in range(4, 11):
+        count: Counter = Counter()
+        for texts in edged:
+            parts = {x[i : i + n] for x in texts for i in range(len(x) - n + 1)}
+            count.update(parts if shorter is None else [p for p in parts if p[1:] in shorter and p[:-1] in shorter])
+        shorter = Counter({k: c for k, c in count.items() if c >= least})
+        out.update(shorter)
+    return out
 
 
 def contrast(a: int, n: int, b: int, m: int) -> float:
@@ -90,8 +89,8 @@ def contrast(a: int, n: int, b: int, m: int) -> float:
 
 
 def distinctive(count: Counter, n: int, other: Counter, m: int, budget: int) -> list[str]:
-    """Substrings with the highest contrast, none inside another, up to ``budget`` signs."""
-    ranked = sorted(((-contrast(c, n, other[w], m), len(w), w) for w, c in count.items() if c >= 5))
+    """Substrings with the highest contrast, none inside another, up to ``budget`` signs. Such as one text of the others holds count as none there."""
+    ranked = sorted((-contrast(c, n, other[w], m), len(w), w) for w, c in count.items() if c >= 5)
     out: list[str] = []
     for z, _, w in ranked:
         if z > -5 or sum(map(len, out)) >= budget:
