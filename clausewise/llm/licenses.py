@@ -82,8 +82,11 @@ def segments(text: Column) -> Column:
     return F.array_distinct(F.concat(sentences, lines, F.split(text, "\n[ \\t\\r]*\n"), F.array(text)))
 
 
-def runs(g: Column, name: str, t: list[str], dice: float) -> Column:
-    """The best run (common, dice, license, a, b) from each place of a template's bigrams in the text's bigrams ``g``."""
+def runs(g: Column, known: Column, name: str, t: list[str], dice: float) -> Column:
+    """The best run (common, dice, license, a, b) from each place of a template's bigrams in the text's bigrams ``g``.
+
+    ``known``: those of ``g`` that any template has, so that a text's bigrams are not searched for every template.
+    """
     low, high = math.ceil(len(t) * dice / (2 - dice) - 1e-9), math.floor(len(t) * (2 - dice) / dice + 1e-9)
     grams = F.array(*[F.lit(x) for x in t])
     none = F.array().cast("array<struct<common:int,dice:double,license:string,a:int,b:int>>")
@@ -104,7 +107,7 @@ def runs(g: Column, name: str, t: list[str], dice: float) -> Column:
 
         return F.filter(F.transform(spots, at), lambda m: m["dice"] >= dice)
 
-    held = F.size(F.array_intersect(g, grams)) >= low
+    held = F.size(F.array_intersect(known, grams)) >= low
     spots = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(grams, F.get(g, i)))
     shaped = lambda m: F.struct(m["common"].alias("common"), m["dice"].alias("dice"), F.lit(name).alias("license"), m["a"].alias("a"), m["b"].alias("b"))
     return F.when(held, F.transform(let(spots, best), shaped)).otherwise(none)
@@ -140,7 +143,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
         beaten = lambda m: F.exists(every, lambda o: (o["a"] <= m["b"]) & (m["a"] <= o["b"]) & (F.struct(o["common"], o["dice"], o["license"]) > F.struct(m["common"], m["dice"], m["license"])))
         return F.transform(F.filter(every, lambda m: ~beaten(m)), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license")))
 
-    wrapped = let(F.concat(*[runs(F.col("g"), k, g, dice) for k, g in grams.items()]), apart)
+    every_run = let(F.array_intersect(F.col("g"), strings(every)), lambda known: F.concat(*[runs(F.col("g"), known, k, g, dice) for k, g in grams.items()]))
+    wrapped = let(every_run, apart)
 
     def more(x: Column) -> Column:
         names = F.array_except(F.transform(x, lambda m: m["license"]), F.transform("named", lambda m: m["license"]))
