@@ -116,6 +116,16 @@ BENCHMARK = [
 ]
 
 
+def test_rows_without_id_and_clashing_columns(spark):
+    """A null id is told by its text; the benchmark may have the documents' column names."""
+    bench = spark.createDataFrame([(*x, 1, "src") for x in BENCHMARK], "item_id long, text string, doc_id int, source string")
+    docs = spark.createDataFrame([(None, BENCHMARK[1][1], "a"), (None, "a clean text without any of it at all", "a"), (None, None, "a"), (4, "other words that stay here", "b")], "doc_id long, text string, source string")
+    found = decontam.contaminated(docs, bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(None, 1)]
+    left = decontam.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and left.count() == 3 and left.filter("text like '%river%'").isEmpty()
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     item0, item1 = BENCHMARK[0][1], BENCHMARK[1][1]
