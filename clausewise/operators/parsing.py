@@ -224,14 +224,16 @@ def read_sentences(path: str, source: str, keyword: str = KEYWORD, rejected: Map
     doc = parse(source)
     hidden = [{"start": a, "end": b, "rules": ids} for a, b, ids in regions(doc, keyword)]
     number = 0
-    char_at, byte_at = 0, 0
+    char_at, byte_at, line_at = 0, 0, 1
     for k, block in enumerate(doc.blocks):
         rows = []
         for a, b in sentence_spans(doc, block):
             spans = word_spans(doc.masked, a, b)
             if not spans:
                 continue
-            byte_at += len(source[char_at:a].encode("utf-8", "surrogatepass")) if a >= char_at else -len(source[a:char_at].encode("utf-8", "surrogatepass"))
+            passed, way = (source[char_at:a], 1) if a >= char_at else (source[a:char_at], -1)
+            byte_at += way * len(passed.encode("utf-8", "surrogatepass"))
+            line_at += way * passed.count("\n")
             char_at = a
             line_start = source.rfind("\n", 0, a) + 1
             rows.append(
@@ -255,7 +257,7 @@ def read_sentences(path: str, source: str, keyword: str = KEYWORD, rejected: Map
                     "groups": [{"start": x, "end": y, "words": count_words(doc.masked, x + 1, y - 1)} for x, y in parentheses(doc.masked, a, b)],
                     "lead": source[line_start:a],
                     "after": source[b : b + 42],
-                    "line": source.count("\n", 0, a) + 1,
+                    "line": line_at,
                     "lead_bytes": len(source[line_start:a].encode("utf-8", "surrogatepass")),
                     "byte_start": byte_at,
                     "suppressed": hidden,

@@ -100,6 +100,7 @@ def test_positions_hold_on_random_text():
             assert s["start"] >= last
             last = s["start"]
             assert s["byte_start"] == len(source[: s["start"]].encode())
+            assert s["line"] == source.count("\n", 0, s["start"]) + 1
             assert all(source[t["start"] : t["end"]] == t["text"] for t in s["tokens"])
 
 
