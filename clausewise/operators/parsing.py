@@ -63,6 +63,8 @@ SENTENCE = T.StructType(
         T.StructField("block_n", T.IntegerType()),
         T.StructField("block_words", T.IntegerType()),
         T.StructField("block_end", T.IntegerType()),
+        # the text from the start of a long paragraph to its end, on its first sentence
+        T.StructField("whole", T.StringType()),
         # the token that first tells of a risk in a labelled block, else -1
         T.StructField("risk_at", T.IntegerType()),
         # of a list item that starts with prose: items of its list that start with a capital or a small letter, else 0
@@ -71,6 +73,8 @@ SENTENCE = T.StructType(
     ]
 )
 
+#: Sentences that a paragraph may have.
+PARAGRAPH = 6
 #: Sentence rows of an output batch.
 ROWS = 2000
 _JOIN = "'’ʼ._-"
@@ -300,8 +304,10 @@ def document_sentences(path: str, source: str, keyword: str = KEYWORD, rejected:
         for r in block:
             at = -1 if told else risk_index(r)
             told |= at >= 0
-            r.update(block_n=z - k, block_words=words, block_end=block[-1]["end"], risk_at=at, list_upper=0, list_lower=0)
+            r.update(block_n=z - k, block_words=words, block_end=block[-1]["end"], whole=None, risk_at=at, list_upper=0, list_lower=0)
         head = block[0]
+        if head["kind"] == "paragraph" and z - k > PARAGRAPH:
+            head["whole"] = source[head["start"] : block[-1]["end"]]
         if head["kind"] == "list-item" and len(head["tokens"]) >= 3 and not hidden_start(head["lead"]):
             if not items or head["block"] != last + 1:
                 items.append([])

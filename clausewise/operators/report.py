@@ -26,19 +26,41 @@ def line_column(pre: Column) -> tuple[Column, Column, Column]:
     return line, F.length(tail) + 1, F.octet_length(tail) + 1
 
 
-def located(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """``found`` with the report fields and the editor region; joined to its documents by path."""
+def located(found: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """``found`` with the report fields and the editor region.
+
+    Findings of ``lint`` have ``at``, their sentence's place: the fields are columns of them alone. Findings
+    without it (kept elsewhere) are joined to ``documents`` by path.
+    """
+    if "at" not in found.columns:
+        return placed(from_documents(found, documents))
+    inside = F.col("start") - F.col("at.start")
+    # only a paragraph's finding goes beyond its sentence; it has the whole text with it
+    body = F.when(F.col("end") > F.col("at.end"), F.coalesce("at.whole", "at.text")).otherwise(F.col("at.text"))
+    lines = found.withColumns({"pre": F.substr("at.text", F.lit(1), inside), "span": F.substr(body, inside + 1, F.col("end") - F.col("start"))})
+    return placed(lines.withColumns({"lead": F.col("at.lead"), "line_base": F.col("at.line") - 1, "byte_base": F.col("at.byte_start")}))
+
+
+def from_documents(found: DataFrame, documents: DataFrame) -> DataFrame:
     d = documents.select(F.col("path").alias("_path"), F.col("text").alias("source"))
     j = found.join(d, F.col("path") == F.col("_path"))
-    before, upto = F.substr("source", F.lit(1), F.col("start")), F.substr("source", F.lit(1), F.col("end"))
-    line, col, byte_col = line_column(before)
-    end_line, end_col, _ = line_column(upto)
-    return j.select(
+    text = {"pre": F.substr("source", F.lit(1), F.col("start")), "span": F.substr("source", F.col("start") + 1, F.col("end") - F.col("start"))}
+    return j.withColumns({**text, "lead": F.lit(""), "line_base": F.lit(0), "byte_base": F.lit(0)})
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """Report fields from ``pre``, the text before a finding behind a known place, and ``span``, its own.
+
+    ``lead`` is the text of that place's line before it; ``line_base`` lines and ``byte_base`` bytes end before it.
+    """
+    upto = F.concat("pre", "span")
+    line, col, byte_col = line_column(F.concat("lead", "pre"))
+    end_line, end_col, _ = line_column(F.concat("lead", upto))
+    return found.select(
         "rule_id", "message", "severity", "confidence",
-        F.octet_length(before).alias("start"), F.octet_length(upto).alias("end"), "suggestion",
-        F.col("path").alias("file"), line.alias("line"), byte_col.alias("column"),
-        collapse(F.substr("source", F.col("start") + 1, F.col("end") - F.col("start"))).alias("text"),
-        col.alias("start_column"), end_line.alias("end_line"), end_col.alias("end_column"),
+        (F.col("byte_base") + F.octet_length("pre")).cast("int").alias("start"), (F.col("byte_base") + F.octet_length(upto)).cast("int").alias("end"), "suggestion",
+        F.col("path").alias("file"), (F.col("line_base") + line).alias("line"), byte_col.alias("column"), collapse(F.col("span")).alias("text"),
+        col.alias("start_column"), (F.col("line_base") + end_line).alias("end_line"), end_col.alias("end_column"),
         "rule_order", "sent_no", "emitted",
     )
 

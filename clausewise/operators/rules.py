@@ -2,8 +2,8 @@
 
 Each builder takes a ``Context`` and returns a column of ``array<finding>``. A sentence rule reads one row,
 which also carries what the parser noted of its block and list, and needs no shuffle; all are
-concatenated and exploded once. Only the first use of a long noun (1.9) asks for a whole
-document; that rule is a DataFrame builder with one shuffle of its few hits.
+concatenated and exploded once. The first use of a long noun (1.9) and the steps of a procedure (5.3)
+ask for a whole document: where they can occur, one shuffle of the findings decides them (``settled``).
 
 A finding is (rule_id, message, severity, confidence, start, end, suggestion); positions are code
 points of the document. ``order`` and ``emitted`` keep the catalogue's order among findings that
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from clausewise.functions import lexicon as L
 from clausewise.options import Options
 
+from .parsing import PARAGRAPH
+
 FINDING = "struct<rule_id:string,message:string,severity:string,confidence:double,start:int,end:int,suggestion:string>"
 QUOTES = "\"'`‘’“”"
 
@@ -439,7 +441,7 @@ def only(found: Column, condition: Column) -> Column:
 
 def paragraph_length(c: Context) -> Column:
     f = finding("STE-6.6", "warning", 1.0, F.col("start"), F.col("block_end"), F.concat(F.lit("A paragraph has "), F.col("block_n").cast("string"), F.lit(" sentences; the limit is 6.")), "Divide the paragraph.")
-    return only(f, F.col("first") & (F.col("kind") == "paragraph") & (F.col("block_n") > 6))
+    return only(f, F.col("first") & (F.col("kind") == "paragraph") & (F.col("block_n") > PARAGRAPH))
 
 
 def safety_instruction(c: Context) -> Column:
@@ -460,28 +462,58 @@ def vertical_list(c: Context) -> Column:
     return only(f, (F.col("list_upper") > 0) & (F.col("list_lower") > 0) & odd)
 
 
-# --- document rules ------------------------------------------------------------------------------
-
+# --- rules on more than a sentence: its rows are candidates, one shuffle of these decides -------------
 
-def islands(s: DataFrame) -> DataFrame:
-    """Rows of consecutive blocks share ``island``: a gap of one or more blocks starts a new one."""
-    return s.withColumn("island", F.col("block") - F.row_number().over(W.partitionBy("path").orderBy("block")))
+STEP = "struct<block:int,tagged:boolean,word:string>"
+#: A finding with its place in the report. ``once`` numbers what only its first finding in a document tells,
+#: ``step`` is there on the steps of rule 5.3.
+CANDIDATE = f"struct<rule_order:int,emitted:int,f:{FINDING},hidden:boolean,once:int,step:{STEP}>"
 
 
-def short_noun(s: DataFrame, o: Options) -> DataFrame | None:
+def short_noun(c: Context) -> Column | None:
+    """Uses of technical nouns over the limit: (once, i, f); None without a limit or such nouns."""
+    o = c.options
     names = sorted({" ".join(n.lower().split()) for n in (*o.allow_nouns, *o.preset_nouns, *(p for p, _ in o.prefer))})
     names = [n for n in names if len(n.split()) > o.max_noun_words]
     if o.max_noun_words <= 0 or not names:
         return None
-    c = Context(o)
     sizes = F.array(*[F.lit(len(n.split())) for n in names])
-    at = c.each(lambda t: t["lower"].isin(sorted({n.split()[0] for n in names})), lambda t, i: F.transform(phrase_at(c, i, names), lambda k: F.struct(k.alias("name"), i.alias("i"))))
-    hits = s.select("path", "sent_no", "tokens", "text", "start", F.explode(F.flatten(at)).alias("h"))
-    last = F.col("h.i") + F.get(sizes, F.col("h.name")) - 1
-    f = finding("STE-1.9", "warning", 0.95, c.tok(F.col("h.i"))["start"], c.tok(last)["end"], F.concat(F.lit('The technical noun "'), c.span(F.col("h.i"), last), F.lit(f'" has more than {o.max_noun_words} words.')), "Select a shorter technical noun.")
-    made = hits.select("path", "sent_no", F.col("h.name").alias("name"), F.col("h.i").alias("i"), f.alias("f"))
-    first = made.groupBy("path", "name").agg(F.min_by(F.struct("sent_no", "f"), F.struct("sent_no", "i")).alias("x"))
-    return first.select("path", F.col("x.sent_no").alias("sent_no"), F.col("x.f").alias("f"))
+
+    def use(i: Column, name: Column) -> Column:
+        last = i + F.get(sizes, name) - 1
+        f = finding("STE-1.9", "warning", 0.95, c.tok(i)["start"], c.tok(last)["end"], F.concat(F.lit('The technical noun "'), c.span(i, last), F.lit(f'" has more than {o.max_noun_words} words.')), "Select a shorter technical noun.")
+        return F.struct(name.alias("once"), i.alias("i"), f.alias("f"))
+
+    starts = sorted({n.split()[0] for n in names})
+    return F.flatten(c.each(lambda t: t["lower"].isin(starts), lambda t, i: F.transform(phrase_at(c, i, names), lambda k: use(i, k))))
+
+
+def step_command() -> Column:
+    """Rule 5.3's finding on a step that ``odd_word`` keeps from being a command."""
+    w = F.col("odd_word")
+    return finding("STE-5.3", "warning", 0.75, w["start"], w["end"], F.concat(F.lit('The instruction starts with "'), w["text"], F.lit('", which is no command verb.')), "Start with the command form of the verb.")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Candidates (CANDIDATE's fields with path and sent_no) that are findings.
+
+    Of those with ``once``, the first in its document; of steps, the odd ones of a procedure (consecutive
+    blocks) of at least two, most of which are commands.
+    """
+    by = ["path", "rule_order"]
+    first = F.row_number().over(W.partitionBy(*by, "once").orderBy("sent_no", "emitted"))
+    island = F.col("step.block") - F.row_number().over(W.partitionBy(*by).orderBy("step.block"))
+    group = W.partitionBy(*by, "island")
+    counted = rows.withColumn("island", F.when(F.col("step").isNotNull(), island)).withColumns(
+        {
+            "first": first,
+            "steps": F.count_if("step.tagged").over(group),
+            "commands": F.count_if(F.col("step.tagged") & F.col("step.word").isNull()).over(group),
+        }
+    )
+    odd = F.col("step.tagged") & F.col("step.word").isNotNull() & (F.col("steps") >= 2) & (F.col("commands") * 2 > F.col("steps"))
+    kept = counted.filter(F.when(F.col("once").isNotNull(), F.col("first") == 1).when(F.col("step").isNotNull(), odd).otherwise(True))
+    return kept.withColumn("emitted", F.when(F.col("once").isNotNull(), 0).otherwise(F.col("emitted"))).select(rows.columns)
 
 
 @dataclass(frozen=True)
@@ -492,7 +524,8 @@ class Rule:
     ids: tuple[str, ...]
     top: float
     sentence: Callable[[Context], Column] | None = None
-    document: Callable[[DataFrame, Options], DataFrame | None] | None = None
+    #: Gives candidates (once, i, f), of which the first of each ``once`` in a document counts.
+    first: Callable[[Context], Column | None] | None = None
 
 
 #: Rules that need no grammar, in catalogue order with their places among all rules.
@@ -512,7 +545,7 @@ RULES: tuple[tuple[int, Rule], ...] = (
     (13, Rule("vertical_list", ("STE-4.3",), 0.8, vertical_list)),
     (14, Rule("condition_order", ("STE-5.4",), 0.7, condition_order)),
     (15, Rule("one_name", ("STE-1.11",), 0.95, one_name)),
-    (16, Rule("short_noun", ("STE-1.9",), 0.95, document=short_noun)),
+    (16, Rule("short_noun", ("STE-1.9",), 0.95, first=short_noun)),
     (20, Rule("verb_tense", ("STE-3.2",), 0.9, verb_tense)),
 )
 

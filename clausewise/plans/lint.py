@@ -1,13 +1,12 @@
 """From documents to ordered findings, as one lazy DataFrame.
 
-Parsing and all rules without grammar but one are one narrow pass: the plan has no exchange before the
-final order, and every document is parsed once.
+Parsing, grammar and rules are one narrow pass, in which every document is parsed and every sentence
+analysed once. Only rules 1.9 and 5.3, where they can occur, add an exchange of the findings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,31 +27,45 @@ def sentences(documents: DataFrame, options: Options | None = None, index: Index
 
 
 def sentence_findings(s: DataFrame, options: Options, tagged: bool) -> DataFrame:
-    """(path, sent_no, rule_order, emitted, f) of the rules that read one sentence: no shuffle."""
-    c = R.Context(options, tagged)
-
-    def numbered(order: int, found: Column) -> Column:
-        return F.transform(found, lambda f, k: F.struct(F.lit(order).alias("rule_order"), k.alias("emitted"), f.alias("f")))
-
-    parts = [
-        numbered(order, rule.sentence(c))
-        for order, rule in R.RULES
-        if rule.sentence is not None and R.wanted(rule, options)
-    ]
-    if not parts:
-        parts = [F.array().cast(f"array<struct<rule_order:int,emitted:int,f:{R.FINDING}>>")]
-    # the outer form keeps Catalyst from computing all rules twice for a size filter
-    # suppressed findings go before the explode, so that no region travels with a finding
-    rows = s.select("path", "sent_no", F.explode_outer(F.filter(F.concat(*parts), lambda x: ~suppressed(x["f"]["start"], x["f"]["rule_id"]))).alias("x")).filter("x is not null")
-    return rows.select("path", "sent_no", "x.rule_order", "x.emitted", "x.f")
-
+    """Findings of sentence rows (with grammar where ``tagged``): path, sent_no, rule_order, emitted, f, at.
 
-def block_findings(s: DataFrame, options: Options) -> list[DataFrame]:
-    out = []
+    ``at`` is what a report needs to give their places. Only rules that look beyond a sentence shuffle.
+    """
+    c = R.Context(options, tagged)
+    row = lambda order, emitted, f, once=None, step=None: F.struct(
+        F.lit(order).alias("rule_order") if isinstance(order, int) else order.alias("rule_order"),
+        emitted.cast("int").alias("emitted"),
+        f.cast(R.FINDING).alias("f"),
+        F.coalesce(suppressed(f["start"], f["rule_id"]), F.lit(False)).alias("hidden"),
+        (F.lit(None) if once is None else once).cast("int").alias("once"),
+        (F.lit(None) if step is None else step).cast(R.STEP).alias("step"),
+    )
+    numbered = lambda order, found: F.transform(found, lambda f, k: row(order, k, f))
+    once = lambda order, uses: F.transform(uses, lambda u: row(order, u["i"], u["f"], u["once"]))
+    parts, wide = [], []
     for order, rule in R.RULES:
-        if rule.document is not None and R.wanted(rule, options) and (found := rule.document(s, options)) is not None:
-            out.append(found.select("path", "sent_no", F.lit(order).alias("rule_order"), F.lit(0).alias("emitted"), F.col("f").cast(R.FINDING).alias("f")))
-    return out
+        if not R.wanted(rule, options):
+            continue
+        if rule.sentence is not None:
+            parts.append(numbered(order, rule.sentence(c)))
+        elif (uses := rule.first(c)) is not None:
+            wide.append(once(order, uses))
+    if tagged:
+        parts.append(F.transform("grammar_found", lambda g: row(g["rule_order"], g["emitted"], g["f"])))
+        is_step = F.expr("procedural and not note and first and kind = 'list-item' and size(tokens) > 0")
+        step = F.struct(F.col("block"), F.col("tagged"), F.col("odd_word.text").alias("word"))
+        wide.append(F.when(is_step, F.array(row(17, F.lit(0), R.step_command(), None, step))).otherwise(F.array().cast(f"array<{R.CANDIDATE}>")))
+    if not parts + wide:
+        parts = [F.array().cast(f"array<{R.CANDIDATE}>")]
+    # the outer form keeps Catalyst from computing all rules twice for a size filter;
+    # suppressed findings go before the explode, so that no region travels with a finding
+    shown = F.filter(F.concat(*parts), lambda x: ~x["hidden"]) if parts else None
+    found = F.concat(*([shown] if parts else []), *wide) if wide else shown
+    at = F.struct("start", "end", "text", "lead", "line", "byte_start", "whole").alias("at")
+    rows = s.select("path", "sent_no", at, F.explode_outer(found).alias("x")).filter("x is not null").select("path", "sent_no", "x.*", "at")
+    if wide:
+        rows = R.settled(rows).filter("not hidden")
+    return rows.select("path", "sent_no", "rule_order", "emitted", "f", "at")
 
 
 def severity(options: Options, rule: Column, given: Column) -> Column:
@@ -67,40 +80,24 @@ def severity(options: Options, rule: Column, given: Column) -> Column:
 
 
 def lint(documents: DataFrame, options: Options | None = None, index: Index | None = None, analyzer: Callable[[], G.Analyzer] | None = None, parsed: DataFrame | None = None) -> DataFrame:
-    """Findings of ``documents(path, text)``: FIELDS with path, sent_no, rule_order and emitted, unordered.
+    """Findings of ``documents(path, text)``: FIELDS with path, sent_no, rule_order, emitted and at, unordered.
 
     ``parsed`` takes sentence rows made before (``sentences``), for instance stored ones.
     """
     o = options or Options()
     s = parsed if parsed is not None else sentences(documents, o, index)
-    tagged = analyzer is not None
-    if tagged:
-        s = G.annotate(s, analyzer)
-    parts = [sentence_findings(s, o, tagged)]
-    other = block_findings(s, o) + ([GR.findings(s, o, index), GR.procedures(s, o)] if tagged else [])
-    if other:
-        parts.append(suppress(reduce(DataFrame.unionByName, [columns(p) for p in other]), s))
-    found = reduce(DataFrame.unionByName, map(columns, parts)).select("path", "sent_no", "rule_order", "emitted", "f.*")
+    if analyzer is not None:
+        s = GR.read(s, analyzer, o, index)
+    found = sentence_findings(s, o, analyzer is not None).select("path", "sent_no", "rule_order", "emitted", "f.*", "at")
     kept = found.filter((F.col("confidence") >= o.confidence) & ~F.col("rule_id").isin(list(o.disable)) if o.disable else F.col("confidence") >= o.confidence)
     return kept.withColumn("severity", severity(o, F.col("rule_id"), F.col("severity"))).filter("severity <> 'off'")
 
 
-def columns(found: DataFrame) -> DataFrame:
-    return found.select("path", "sent_no", "rule_order", "emitted", F.col("f").cast(R.FINDING).alias("f"))
-
-
 def suppressed(start: Column, rule: Column) -> Column:
     """Whether a finding starts in a region of its sentence's document that suppresses its rule."""
     return F.exists("suppressed", lambda r: (r["start"] <= start) & (start < r["end"]) & ((F.size(r["rules"]) == 0) | F.array_contains(r["rules"], rule)))
 
 
-def suppress(found: DataFrame, s: DataFrame) -> DataFrame:
-    """The same for findings that come from other stages: only documents with regions are joined."""
-    regions = s.filter("size(suppressed) > 0 and sent_no = 0").select(F.col("path").alias("_path"), "suppressed")
-    joined = found.join(regions, F.col("path") == F.col("_path"), "left")
-    return joined.filter(F.col("suppressed").isNull() | ~suppressed(F.col("f.start"), F.col("f.rule_id"))).select(*found.columns)
-
-
 def ordered(found: DataFrame) -> DataFrame:
     """The order of a report: path, position, rule, then the catalogue's order."""
     return found.orderBy("path", "start", "end", "rule_id", "rule_order", "sent_no", "emitted")

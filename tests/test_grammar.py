@@ -1,6 +1,7 @@
 import pytest
 
 from clausewise.operators import grammar as G
+from clausewise.operators import report
 from clausewise.operators.parsing import document_sentences
 from clausewise.plans import catalogue, lint, tagged_corpus
 
@@ -50,6 +51,87 @@ def test_process_analyzer(tmp_path):
         G.read_tokens([{"i": True, "text": "a", "pos": "", "tag": "", "dep": "", "head": 0, "start": 0}])
 
 
+PROGRAM = """import json, sys, time
+ready, slow = json.loads(sys.argv[1]), sys.argv[2]
+print(json.dumps(ready), flush=True)
+tokens = lambda t: [{"i": 0, "text": t, "pos": "NOUN", "tag": "NN", "dep": "ROOT", "head": 0, "start": 0}]
+for line in sys.stdin:
+    r = json.loads(line)
+    if "stop" in r:
+        open(sys.argv[3], "w").write("stopped")
+        break
+    if r["texts"][0] == slow:
+        time.sleep(1.0)
+    if r["texts"][0] == "die":
+        sys.exit()
+    if r["texts"][0] == "no":
+        print(json.dumps({"id": r["id"], "error": "no"}), flush=True)
+    elif ready.get("batch"):
+        print(json.dumps({"id": r["id"], "results": [{"error": "x"} if t == "bad" else tokens(t) for t in r["texts"]]}), flush=True)
+    else:
+        print(json.dumps({"id": r["id"], "tokens": tokens(r["text"])}), flush=True)
+"""
+
+
+def test_process_protocol(tmp_path):
+    import json
+    import sys
+    import time
+
+    (tmp_path / "p.py").write_text(PROGRAM)
+
+    def program(ready, slow="", **more):
+        return G.ProcessAnalyzer([sys.executable, str(tmp_path / "p.py"), json.dumps(ready), slow, str(tmp_path / "end")], **more)
+
+    said = lambda a, texts: [t[0].text if t else None for t in a.grammar_many(texts)]
+    one = program({"ready": True}, "slow", answer_seconds=0.5)
+    assert said(one, ["a", "no", "b"]) == ["a", None, "b"]
+    assert one.identity == ""
+    # a late answer is not taken for the next text's
+    assert said(one, ["slow"]) == [None]
+    time.sleep(0.7)
+    assert said(one, ["c"]) == ["c"]
+    # a program that ended is started again
+    assert said(one, ["die", "d"]) == [None, "d"]
+    one.close()
+    assert (tmp_path / "end").read_text() == "stopped"
+    many = program({"ready": True, "batch": True, "model": "m", "version": "1", "pipeline": ["x"]}, batch=2)
+    assert said(many, ["a", "bad", "c"]) == ["a", None, "c"]
+    assert many.identity == "m\x1f1\x1fx"
+    many.close()
+    began = time.monotonic()
+    silent = G.ProcessAnalyzer([sys.executable, "-c", "import time; time.sleep(30)"], start_seconds=0.3)
+    assert silent.grammar_many(["a", "b"]) == [[], []] and silent.grammar_many(["c"]) == [[]]
+    assert time.monotonic() - began < 15
+    with pytest.raises(ValueError):
+        program({"ready": False}).start()
+    with pytest.raises(ValueError):
+        G.ProcessAnalyzer([])
+
+
+def test_texts_are_asked_once():
+    class Counting:
+        asked: list = []
+
+        def grammar_many(self, texts):
+            self.asked += texts
+            return [[] if t == "bad" else [token(0, t, 0, 0)] for t in texts]
+
+    a = G.Remembering(Counting(), limit=3)
+    assert [len(x) for x in a.grammar_many(["a", "b", "a", "bad"])] == [1, 1, 1, 0]
+    assert [len(x) for x in a.grammar_many(["b", "bad"])] == [1, 0]
+    assert a.inner.asked == ["a", "b", "bad", "bad"]
+    assert a.grammar_many(["c", "d", "a"])[2][0].text == "a" and len(a.known) <= 3
+
+
+def test_one_parse_and_one_analysis(spark):
+    docs = tagged_corpus.documents(spark)
+    found = lint.lint(docs, tagged_corpus.OPTIONS, tagged_corpus.INDEX, tagged_corpus.analyzer)
+    text = report.located(found)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 2 and "MapInPandas" not in text and "Join" not in text
+    assert text.count("Exchange") <= 1
+
+
 def test_untagged_sentences_stay_untagged(spark):
     docs = spark.createDataFrame([("a", "The lid was opened. It isn't.")], "path string, text string")
     plain = {(r["rule_id"], r["start"]) for r in lint.lint(docs).collect()}

@@ -154,6 +154,24 @@ def test_report(spark):
         report.json_fields(("nope",))
 
 
+def test_places_need_no_documents(spark):
+    texts = ["# T\n\n" + "One twö é. " * 9 + "\r\nIt isn't a; b.\n", "> Note: it\n> isn't; no 😀 (can't)\n\n1. Öl; it's\n   don't", ""]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    found = plan.lint(docs)
+    here, joined = report.located(found), report.located(found.drop("at"), docs)
+    assert here.count() >= 6 and here.filter("rule_id = 'STE-6.6'").count() == 1
+    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, joined.collect()))
+    assert "Join" not in here._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_use_of_a_long_noun(spark):
+    o = Options(max_noun_words=2, allow_nouns=("big red valve",))
+    texts = ["Use the big red valve. The big red valve is open.", "The big red valve is here. <!-- ste-disable-line STE-1.9 -->\n\nThe big red valve is there."]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = [(r["path"], r["start"]) for r in plan.lint(docs, o).filter("rule_id = 'STE-1.9'").collect()]
+    assert got == [("0", 8)]
+
+
 def test_baseline(spark, tmp_path):
     rows = [("a", "R1", "x", k) for k in range(3)] + [("a", "R2", "y", 3), ("b", "R1", "x", 0)]
     r = spark.createDataFrame(rows, "file string, rule_id string, text string, start int").selectExpr("*", "start AS end", "1 AS rule_order", "0 AS sent_no", "0 AS emitted")
