@@ -1,4 +1,4 @@
-"""Command line: lint, baseline, eval, dict, init, schema, version.
+"""Command line: lint, baseline, eval, analyzer, dict, init, schema, version.
 
 Exit status 0: no failed gate, 1: a gate failed, 2: a wrong call or input.
 """
@@ -8,9 +8,12 @@ from __future__ import annotations
 import argparse
 import datetime
 import json
+import os
+import shlex
 import shutil
 import subprocess
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,7 @@ presets: []             # software
 
 def schema() -> dict:
     rules = sorted(config.RULE_IDS, key=lambda r: [int(x) if x.isdigit() else 99 for x in r.replace("STE-", "").replace("GR-", "99.").split(".")])
-    return {"commands": ["lint", "baseline", "eval", "dict", "init", "schema", "version"], "config": sorted(config.KEYS), "rules": rules, "fields": list(report.REPORT_FIELDS), "formats": ["text", "json", "ndjson", "sarif", "github"], "exit_codes": {"0": "ok", "1": "gate", "2": "error"}}
+    return {"commands": ["lint", "baseline", "eval", "analyzer", "dict", "init", "schema", "version"], "config": sorted(config.KEYS), "rules": rules, "fields": list(report.REPORT_FIELDS), "formats": ["text", "json", "ndjson", "sarif", "github"], "exit_codes": {"0": "ok", "1": "gate", "2": "error"}}
 
 
 def visible(spark: SparkSession, folder: Path) -> DataFrame | None:
@@ -78,61 +81,171 @@ def sources(spark: SparkSession, paths: list[str], exclude: tuple[str, ...], all
     return docs
 
 
+def say(kind: str, data: dict, text: str) -> None:
+    """A plan or a state, as JSON or as text."""
+    sys.stdout.write(json.dumps(data, indent=2 if kind == "json" else None, ensure_ascii=False) + "\n" if kind in ("json", "ndjson") else text)
+
+
+def program(command: str) -> tuple[Callable[[], grammar.Analyzer] | None, str]:
+    """How workers make the analyzer, and its identity. A program that is not ready is a wrong call."""
+    if not command:
+        return None, ""
+    words = shlex.split(command)
+    first = grammar.ProcessAnalyzer(words)
+    try:
+        first.start()
+    finally:
+        first.close()
+    return lambda: grammar.ProcessAnalyzer(words), first.identity
+
+
+def below_root() -> str:
+    """The way from the repository's root to the working folder; empty outside of one."""
+    here = Path.cwd()
+    root = next((d for d in (here, *here.parents) if (d / ".git").exists()), here)
+    return here.relative_to(root).as_posix()
+
+
+def run_baseline(a: argparse.Namespace, found: DataFrame, read: DataFrame, path: str) -> int:
+    entries, kept, removed = baseline.without_lost_files(baseline.read(found.sparkSession, path), read, Path(path).parent)
+    findings, n = found.count(), read.distinct().count()
+    data = {"action": "baseline", "dry_run": a.dry_run, "path": path, "findings": findings, "files": n, "kept": kept, "removed": removed}
+    if a.dry_run:
+        data["exists"] = Path(path).is_file()
+    else:
+        baseline.save(baseline.merged(found, entries, read), path, datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    more = f"{kept} accepted findings of files that were not read stay.\n" if kept else ""
+    more += f"{removed} accepted findings of files that are gone go.\n" if removed else ""
+    say(a.format, data, f"{path} {'would hold' if a.dry_run else 'holds'} {findings} findings of {n} files.\n{more}")
+    return 0
+
+
 def run_lint(spark: SparkSession, a: argparse.Namespace, cfg: config.Config, write: bool) -> int:
     o = cfg.options
     o = Options(**{**vars(o), **{k: v for k, v in (("mode", a.mode), ("max_words", a.max_words), ("min_confidence", a.min_confidence)) if v is not None}, "warnings_as_errors": o.warnings_as_errors or a.warnings_as_errors})
     index = dictionary.load(a.dictionary) if a.dictionary else None
-    analyzer = (lambda: grammar.ProcessAnalyzer(a.analyzer.split())) if a.analyzer else None
+    analyzer, identity = program(a.analyzer)
     docs = sources(spark, a.paths or ["-"], cfg.exclude, a.all_files).cache()
     parsed = plan.sentences(docs, o, index).cache()
-    found = report.located(plan.lint(docs, o, index, analyzer, parsed), docs).cache()
+    found = report.located(plan.lint(docs, o, index, analyzer, parsed, (identity, a.cache) if analyzer and identity and a.cache else None)).cache()
     path = a.baseline or cfg.baseline
     read = docs.select(F.col("path").alias("file"))
     if write:
         if not path:
             raise ValueError("no baseline file is given")
-        baseline.save(baseline.merged(found, baseline.read(spark, path), read), path, datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
-        return 0
-    kept = baseline.new_findings(found, baseline.read(spark, path)) if path else found
-    total = report.gate(report.summary(kept, parsed, docs), o.warnings_as_errors, a.fail_on_new, cfg.fail_over if a.fail_over is None else a.fail_over).first().asDict()
+        return run_baseline(a, found, read, path)
+    accepted = baseline.read(spark, path) if path else None
+    kept = found if accepted is None else baseline.new_findings(found, accepted)
+    limit = cfg.fail_over if a.fail_over is None else a.fail_over
+    total = report.gate(report.summary(kept, parsed, docs), o.warnings_as_errors, a.fail_on_new, limit).first().asDict()
     status = total.pop("status")
+    if accepted is not None:
+        known = {"accepted": found.count() - total["findings"], "stale": baseline.stale(found, accepted, read).agg(F.coalesce(F.sum("stale"), F.lit(0))).first()[0]}
+        total.update({k: n for k, n in known.items() if n})
+    shown = report.under_root(kept, below_root()) if a.format in ("sarif", "github") else kept
+    fields = tuple(x for x in a.fields.split(",") if x)
+    if a.output:
+        report.lines(shown, a.format, fields).write.text(a.output)
     per = report.per_file(kept.withColumnRenamed("file", "path"), parsed)
-    sys.stdout.write(report.render(kept, total, a.format, a.limit, tuple(x for x in a.fields.split(",") if x), o.mode, a.summary_only, per))
+    sys.stdout.write(report.render(shown, total, a.format, a.limit, fields, o.mode, a.summary_only or bool(a.output), per))
+    if a.format == "text" and total.get("accepted"):
+        sys.stdout.write(f"{total['accepted']} findings are in the baseline {path} and not shown.\n")
+    if a.format == "text" and total.get("stale"):
+        sys.stdout.write(f"{total['stale']} accepted findings are gone from the text. The baseline command records the lower number.\n")
+    if status:
+        print(f"clausewise: a gate failed: {total['findings']} findings, {total['errors']} errors, score {total['score']:.2f}", file=sys.stderr)
     return status
 
 
 def run_eval(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Scores of a labelled corpus. Fixtures with the same options share one plan."""
     root = Path(a.corpus)
     if not root.is_dir():
         raise ValueError(f"{root}: the corpus directory does not exist")
     fixtures = sorted(p for p in root.rglob("*") if p.suffix in (".md", ".markdown", ".txt"))
-    counts, skipped = [], 0
+    if not fixtures:
+        raise ValueError(f"{root}: the corpus has no fixture files")
+    analyzer, _ = program(a.analyzer)
+    skipped: list[str] = []
+    groups: dict[tuple, list[tuple[Options, str, str]]] = {}
+    labels = []
     for p in fixtures:
         label = p.with_suffix(".expected.json")
-        want = json.loads(label.read_text()) if label.exists() else {}
-        if want.get("analyze") and not a.analyzer:
-            skipped += 1
+        want = json.loads(label.read_text(encoding="utf-8")) if label.exists() else {}
+        if want.get("analyze") and analyzer is None:
+            skipped.append(p.as_posix())
             continue
         o = Options(mode=want.get("mode", "flavored"), max_noun_words=want.get("max_noun_words", 0), allow_nouns=tuple(want.get("allow_nouns", ())), allow_verbs=tuple(want.get("allow_verbs", ())), prefer=tuple((k, tuple(v)) for k, v in sorted(want.get("prefer", {}).items())))
-        index = dictionary.load(p.parent / want["dictionary"]) if want.get("dictionary") else None
-        docs = files.from_texts(spark, [(p.as_posix(), p.read_text(encoding="utf-8"))])
-        analyzer = (lambda: grammar.ProcessAnalyzer(a.analyzer.split())) if want.get("analyze") else None
-        found = report.located(plan.lint(docs, o, index, analyzer), docs).select("file", "rule_id", "text", F.col("start").alias("place"))
-        labels = spark.createDataFrame([(p.as_posix(), w["rule_id"], w.get("text", ""), k) for k, w in enumerate(want.get("expect", []))], "file string, rule_id string, text string, place long")
-        counts.append(evaluate.match(found, labels))
-    if not counts:
-        raise ValueError(f"{root}: the corpus has no fixture files")
-    whole = counts[0]
-    for c in counts[1:]:
-        whole = whole.unionByName(c)
-    rows = [r.asDict() for r in evaluate.scores(whole).orderBy(F.col("rule_id") == "all", "rule_id").collect()]
-    sys.stdout.write(evaluate.text_report(rows, len(fixtures)))
-    if skipped:
-        sys.stdout.write(f"{skipped} fixture files skipped, because they need the analyzer\n")
+        key = (repr(o), str(p.parent / want["dictionary"]) if want.get("dictionary") else "", bool(want.get("analyze")))
+        groups.setdefault(key, []).append((o, p.as_posix(), p.read_text(encoding="utf-8")))
+        labels += [(p.as_posix(), w["rule_id"], w.get("text", ""), k) for k, w in enumerate(want.get("expect", []))]
+    found = None
+    for (_, words, tagged), members in groups.items():
+        docs = files.from_texts(spark, [(path, text) for _, path, text in members])
+        index = dictionary.load(words) if words else None
+        part = report.located(plan.lint(docs, members[0][0], index, analyzer if tagged else None)).select("file", "rule_id", "text", F.col("start").alias("place"))
+        found = part if found is None else found.unionByName(part)
+    expected = spark.createDataFrame(labels, "file string, rule_id string, text string, place long")
+    rows = [r.asDict() for r in evaluate.scores(evaluate.match(found if found is not None else expected.limit(0), expected)).orderBy(F.col("rule_id") == "all", "rule_id").collect()]
+    count = len(fixtures) - len(skipped)
+    say(a.format, evaluate.json_report(rows, count, skipped) if a.format == "json" else {}, evaluate.text_report(rows, count, skipped))
     last = rows[-1]
     return int(min(last["precision"], last["recall"]) < a.fail_under)
 
 
+def run_analyzer(a: argparse.Namespace, session: Callable[[], SparkSession]) -> int:
+    """State of the analyzer program, or removal of the grammar kept from earlier runs."""
+    if a.clear_cache:
+        gone = bool(a.cache) and grammar.clear(session(), a.cache)
+        say(a.format, {"action": "clear-cache", "path": a.cache, "removed": gone}, f"The grammar cache is clear: {a.cache}\n" if gone else "There is no grammar cache.\n")
+        return 0
+    problem = "no analyzer command is given"
+    if a.analyzer:
+        try:
+            program(a.analyzer)
+            problem = ""
+        except (OSError, ValueError) as err:
+            problem = str(err)
+    text = f"The analyzer cannot run: {problem}\nIt is optional: the other rules work without it.\n" if problem else "The analyzer is ready.\n"
+    say(a.format, {"ready": not problem, "command": a.analyzer, "cache": a.cache or "off", "problem": problem}, text)
+    return 0
+
+
+def run_init(a: argparse.Namespace) -> int:
+    path = Path(config.NAMES[0])
+    if (there := config.find(".")) and not a.force:
+        raise ValueError(f"{there} exists; --force writes {path} all the same")
+    data = {"action": "init", "dry_run": a.dry_run, "path": str(path), "exists": path.is_file()}
+    if not a.dry_run:
+        path.write_text(STARTER, encoding="utf-8")
+    say(a.format, data, f"{path} {'would be' if a.dry_run else 'is'} written.\n")
+    return 0
+
+
+SWITCHES = {
+    "lint": ("--summary-only", "--all-files", "--warnings-as-errors", "--fail-on-new", "--no-config", "--dry-run"),
+    "analyzer": ("--clear-cache",),
+    "init": ("--dry-run", "--force"),
+}
+SWITCHES["baseline"] = SWITCHES["lint"]
+
+
+def switched(args: list[str]) -> list[str]:
+    """``args`` with ``--flag=true`` as ``--flag`` and without ``--flag=false``; the last form of a switch counts."""
+    known = {x for names in SWITCHES.values() for x in names}
+    end = args.index("--") if "--" in args else len(args)
+    out: list[str] = []
+    for x in args[:end]:
+        name, sep, value = x.partition("=")
+        if name not in known:
+            out.append(x)
+            continue
+        if sep and value.lower() not in ("true", "1", "t", "false", "0", "f"):
+            raise ValueError(f"{name}: {value} is not true or false")
+        out = [y for y in out if y != name] + ([name] if not sep or value.lower() in ("true", "1", "t") else [])
+    return out + args[end:]
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="clausewise")
     sub = top.add_subparsers(dest="command", required=True)
@@ -141,27 +254,40 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("paths", nargs="*")
         for flag, kind in (("--mode", str), ("--max-words", int), ("--min-confidence", float), ("--fail-over", float), ("--config", str)):
             p.add_argument(flag, type=kind)
-        for flag in ("--baseline", "--dictionary", "--analyzer", "--fields"):
+        for flag in ("--baseline", "--dictionary", "--analyzer", "--fields", "--output"):
             p.add_argument(flag, default="")
+        p.add_argument("--cache", default=os.environ.get("CLAUSEWISE_GRAMMAR_CACHE", ""))
         p.add_argument("--format", default="text", choices=schema()["formats"])
         p.add_argument("--limit", type=int, default=0)
-        for flag in ("--summary-only", "--all-files", "--warnings-as-errors", "--fail-on-new", "--no-config"):
-            p.add_argument(flag, action="store_true")
     p = sub.add_parser("eval")
     p.add_argument("corpus")
     p.add_argument("--fail-under", type=float, default=0.0)
     p.add_argument("--analyzer", default="")
+    p.add_argument("--format", default="text", choices=["text", "json"])
+    p = sub.add_parser("analyzer")
+    p.add_argument("--analyzer", default="")
+    p.add_argument("--cache", default=os.environ.get("CLAUSEWISE_GRAMMAR_CACHE", ""))
+    p.add_argument("--format", default="text", choices=["text", "json"])
     p = sub.add_parser("dict")
     p.add_argument("action", choices=["import", "info", "remove"])
     p.add_argument("path")
     p.add_argument("--out", default="dictionary.json")
-    for name in ("init", "schema", "version"):
+    p = sub.add_parser("init")
+    p.add_argument("--format", default="text", choices=["text", "json"])
+    for name in ("schema", "version"):
         sub.add_parser(name)
+    for name, switches in SWITCHES.items():
+        for flag in switches:
+            sub.choices[name].add_argument(flag, action="store_true")
     return top
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = parser().parse_args(args)
+    try:
+        a = parser().parse_args(switched(sys.argv[1:] if args is None else args))
+    except ValueError as err:
+        print(f"clausewise: {err}", file=sys.stderr)
+        return 2
     if a.command == "version":
         print(__version__)
         return 0
@@ -170,10 +296,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     try:
         if a.command == "init":
-            if Path(config.NAMES[0]).exists():
-                raise ValueError(f"{config.NAMES[0]} exists")
-            Path(config.NAMES[0]).write_text(STARTER, encoding="utf-8")
-            return 0
+            return run_init(a)
         if a.command == "dict":
             if a.action == "import":
                 dictionary.parse(Path(a.path).read_text(encoding="utf-8"), a.path).save(a.out)
@@ -183,7 +306,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 words = dictionary.load(a.path).words
                 print(json.dumps({"words": len(words), "approved": sum(w.approved for w in words), "forms": sum(len(w.forms) for w in words)}))
             return 0
-        spark = spark or SparkSession.builder.appName("clausewise").getOrCreate()
+        session = lambda: spark or SparkSession.builder.appName("clausewise").getOrCreate()
+        if a.command == "analyzer":
+            return run_analyzer(a, session)
+        spark = session()
         if a.command == "eval":
             return run_eval(spark, a)
         cfg = config.Config() if a.no_config else config.load(a.config or config.find("."))

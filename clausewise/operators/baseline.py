@@ -59,6 +59,22 @@ def merged(report: DataFrame, baseline: DataFrame, files: DataFrame) -> DataFram
     return fresh.select(*KEY, "count").unionByName(kept).groupBy(*KEY).agg(F.sum("count").alias("count"))
 
 
+def without_lost_files(baseline: DataFrame, files: DataFrame, folder: str | Path) -> tuple[DataFrame, int, int]:
+    """Entries without those of unread files that do not exist below ``folder``, and the findings kept and removed so."""
+    unread = baseline.join(files.select("file").distinct(), "file", "left_anti").groupBy("file").agg(F.sum("count").alias("n"))
+    kept = removed = 0
+    lost = []
+    for r in unread.toLocalIterator():
+        if (Path(folder) / r["file"]).exists():
+            kept += r["n"]
+        else:
+            removed += r["n"]
+            lost.append((r["file"],))
+    if not lost:
+        return baseline, kept, removed
+    return baseline.join(baseline.sparkSession.createDataFrame(lost, "file string"), "file", "left_anti"), kept, removed
+
+
 def save(entries: DataFrame, path: str | Path, created: str) -> None:
     """Writes a baseline file, sorted; as large as the accepted findings."""
     rows = [r.asDict() for r in entries.select(*KEY, "count").orderBy(*KEY).toLocalIterator()]

@@ -11,6 +11,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewise import __version__
+from clausewise.functions.lexicon import RULE_NAMES
+
 REPORT_FIELDS = ("rule_id", "message", "severity", "confidence", "start", "end", "suggestion", "file", "line", "column", "text")
 
 
@@ -136,26 +139,52 @@ def ndjson_line(fields: tuple[str, ...] = ()) -> Column:
     return F.concat(F.regexp_replace(json_fields(fields), "\\}$", ""), F.lit(',"type":"finding"}'))
 
 
+def sarif_level(severity: str) -> str:
+    return {"error": "error", "info": "note"}.get(severity, "warning")
+
+
+def sarif_rules() -> list[dict]:
+    """The rules of a report; a result's ``ruleIndex`` is a place in this list."""
+    return [{"id": i, "name": name, "shortDescription": {"text": name}, "defaultConfiguration": {"level": sarif_level(severity)}} for i, name, severity in RULE_NAMES]
+
+
 def sarif_result() -> Column:
     level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "info", "note").otherwise("warning")
+    index = F.try_element_at(F.create_map(*[F.lit(x) for k, (i, _, _) in enumerate(RULE_NAMES) for x in (i, k)]), F.col("rule_id"))
     path = F.replace(F.col("file"), F.lit("\\"), F.lit("/"))
     uri = F.when(path.startswith("/"), F.concat(F.lit("file://"), path)).otherwise(path)
     region = F.struct(F.col("line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("end_line").alias("endLine"), F.col("end_column").alias("endColumn"))
     place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     return F.to_json(
         F.struct(
-            F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(full_message().alias("text")).alias("message"), F.array(place).alias("locations"), F.struct("confidence").alias("properties")
+            F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(full_message().alias("text")).alias("message"), F.array(place).alias("locations"), F.struct("confidence").alias("properties"), index.alias("ruleIndex")
         )
     )
 
 
-def render(report: DataFrame, total: dict, kind: str = "text", limit: int = 0, fields: tuple[str, ...] = (), mode: str = "flavored", summary_only: bool = False, files: DataFrame | None = None, tool: str = "clausewise") -> str:
-    """A whole report as text. The caller chooses ``limit``; 0 collects every finding."""
-    lines = {"text": text_line(), "json": json_fields(fields), "ndjson": ndjson_line(fields), "sarif": sarif_result(), "github": github_line()}
-    if kind not in lines:
+def lines(report: DataFrame, kind: str = "text", fields: tuple[str, ...] = ()) -> DataFrame:
+    """(line) of a report in its order, ready to be written by Spark as text."""
+    made = {"text": text_line, "json": lambda: json_fields(fields), "ndjson": lambda: ndjson_line(fields), "sarif": sarif_result, "github": github_line}
+    if kind not in made:
         raise ValueError(f"unknown format: {kind}")
-    rows = report_order(report)
-    shown = [] if summary_only else [r[0] for r in (rows.limit(limit) if limit > 0 else rows).select(lines[kind].alias("line"), "file", "start", "end", "rule_id", "rule_order", "sent_no", "emitted").orderBy("file", "start", "end", "rule_id", "rule_order", "sent_no", "emitted").select("line").collect()]
+    return report_order(report).select(made[kind]().alias("line"))
+
+
+def under_root(report: DataFrame, below: str) -> DataFrame:
+    """Files as paths from the repository root, where ``below`` is the way down to the working folder.
+
+    Absolute paths, paths that leave the folder and standard input stay as they are.
+    """
+    stays = F.col("file").startswith("/") | F.col("file").startswith("../") | (F.col("file") == "-")
+    if below in ("", "."):
+        return report
+    return report.withColumn("file", F.when(stays, F.col("file")).otherwise(F.concat(F.lit(below.rstrip("/") + "/"), F.regexp_replace("file", "^(\\./)+", ""))))
+
+
+def render(report: DataFrame, total: dict, kind: str = "text", limit: int = 0, fields: tuple[str, ...] = (), mode: str = "flavored", summary_only: bool = False, files: DataFrame | None = None, tool: str = "clausewise") -> str:
+    """A whole report as text. The caller chooses ``limit``; 0 brings every line, ``lines`` is the form that stays distributed."""
+    rows = lines(report, kind, fields)
+    shown = [] if summary_only else [r["line"] for r in (rows.limit(limit) if limit > 0 else rows).toLocalIterator()]
     cut = 0 < limit < total["findings"]
     count = lambda n, noun: f"{n} {noun}{'' if n == 1 else 's'}"
     whole = {**total, "shown": len(shown), "truncated": cut}
@@ -166,7 +195,7 @@ def render(report: DataFrame, total: dict, kind: str = "text", limit: int = 0, f
     if kind == "ndjson":
         return "".join(x + "\n" for x in shown) + json.dumps({"type": "summary", "version": 1, "tool": tool, "mode": mode, "summary": whole}) + "\n"
     if kind == "sarif":
-        run = {"tool": {"driver": {"name": tool, "rules": []}}, "columnKind": "unicodeCodePoints", "results": [json.loads(x) for x in shown]}
+        run = {"tool": {"driver": {"name": tool, "version": __version__, "rules": sarif_rules()}}, "columnKind": "unicodeCodePoints", "results": [json.loads(x) for x in shown]}
         return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False) + "\n"
     data: dict = {"version": 1, "tool": tool, "mode": mode, "summary": whole}
     if not summary_only:

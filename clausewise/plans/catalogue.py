@@ -248,13 +248,13 @@ SELECT path AS file, rule_id, severity, CAST(length(pre) - length(replace(pre, c
 
 @query(f"{probes.expected_sql()}, {LINES} SELECT * FROM lines")
 def report_positions(spark, sf_dir):
-    r = report.located(found(spark, sf_dir), probes.documents(spark, sf_dir))
+    r = report.located(found(spark, sf_dir))
     return r.select("file", "rule_id", "severity", *[F.col(c).cast("long").alias(c) for c in ("line", "column", "start", "end")], "text")
 
 
 @query(f"{probes.expected_sql(('STE-4.2',))}, {LINES} SELECT file || ':' || line || ':' || \"column\" || ': warning [STE-4.2] \"' || text || '\" is a contraction.' || chr(10) || '    Write \"' || CASE text WHEN 'isn''t' THEN 'is not' ELSE 'it is' END || '\".' AS line FROM lines")
 def report_text(spark, sf_dir):
-    r = report.located(found(spark, sf_dir, ("STE-4.2",)), probes.documents(spark, sf_dir))
+    r = report.located(found(spark, sf_dir, ("STE-4.2",)))
     return r.select(report.text_line().alias("line"))
 
 
@@ -262,18 +262,18 @@ def report_text(spark, sf_dir):
     f"{probes.expected_sql(('STE-8.1',))}, {LINES} SELECT '::warning file=' || file || ',line=' || line || ',col=' || \"column\" || ',endLine=' || line || ',endColumn=' || (\"column\" + 1) || ',title=STE-8.1::A semicolon is not approved. Write two sentences or a list.' AS line FROM lines"
 )
 def report_github(spark, sf_dir):
-    r = report.located(found(spark, sf_dir, ("STE-8.1",)), probes.documents(spark, sf_dir))
+    r = report.located(found(spark, sf_dir, ("STE-8.1",)))
     return r.select(report.github_line().alias("line"))
 
 
 @query()
 def report_ndjson(spark, sf_dir):
-    return report.located(found(spark, sf_dir), probes.documents(spark, sf_dir)).select(report.ndjson_line().alias("line"))
+    return report.located(found(spark, sf_dir)).select(report.ndjson_line().alias("line"))
 
 
 @query()
 def report_sarif(spark, sf_dir):
-    return report.located(found(spark, sf_dir), probes.documents(spark, sf_dir)).select(report.sarif_result().alias("line"))
+    return report.located(found(spark, sf_dir)).select(report.sarif_result().alias("line"))
 
 
 # --- baselines, scores, files -------------------------------------------------------------------
@@ -324,7 +324,7 @@ def rule_scores_rollup(spark, sf_dir):
 @query()
 def label_matching(spark, sf_dir):
     f = found(spark, sf_dir, ("STE-1.14", "STE-4.2"))
-    r = report.located(f, probes.documents(spark, sf_dir)).select("file", "rule_id", "text", F.col("start").alias("place"))
+    r = report.located(f).select("file", "rule_id", "text", F.col("start").alias("place"))
     labels = r.filter("place % 2 = 0").select("file", "rule_id", F.when(F.col("place") % 4 == 0, "").otherwise(F.col("text")).alias("text"), "place")
     return E.scores(E.match(r, labels))
 

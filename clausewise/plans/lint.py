@@ -79,15 +79,16 @@ def severity(options: Options, rule: Column, given: Column) -> Column:
     return F.when(out == "warning", "error").otherwise(out) if options.warnings_as_errors else out
 
 
-def lint(documents: DataFrame, options: Options | None = None, index: Index | None = None, analyzer: Callable[[], G.Analyzer] | None = None, parsed: DataFrame | None = None) -> DataFrame:
+def lint(documents: DataFrame, options: Options | None = None, index: Index | None = None, analyzer: Callable[[], G.Analyzer] | None = None, parsed: DataFrame | None = None, cache: tuple[str, str] | None = None) -> DataFrame:
     """Findings of ``documents(path, text)``: FIELDS with path, sent_no, rule_order, emitted and at, unordered.
 
-    ``parsed`` takes sentence rows made before (``sentences``), for instance stored ones.
+    ``parsed`` takes sentence rows made before (``sentences``), for instance stored ones. ``cache`` is the
+    analyzer's identity and a folder of grammar kept between runs.
     """
     o = options or Options()
     s = parsed if parsed is not None else sentences(documents, o, index)
     if analyzer is not None:
-        s = GR.read(s, analyzer, o, index)
+        s = GR.read_kept(s, analyzer, *cache, o, index) if cache else GR.read(s, analyzer, o, index)
     found = sentence_findings(s, o, analyzer is not None).select("path", "sent_no", "rule_order", "emitted", "f.*", "at")
     kept = found.filter((F.col("confidence") >= o.confidence) & ~F.col("rule_id").isin(list(o.disable)) if o.disable else F.col("confidence") >= o.confidence)
     return kept.withColumn("severity", severity(o, F.col("rule_id"), F.col("severity"))).filter("severity <> 'off'")

@@ -132,6 +132,23 @@ def test_one_parse_and_one_analysis(spark):
     assert text.count("Exchange") <= 1
 
 
+def test_grammar_cache(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    docs = tagged_corpus.documents(spark)
+    key = lambda f: sorted((r["path"], r["rule_id"], r["start"], r["confidence"]) for r in f.collect())
+    args = (docs, tagged_corpus.OPTIONS, tagged_corpus.INDEX)
+    want = key(lint.lint(*args, tagged_corpus.analyzer))
+    assert key(lint.lint(*args, tagged_corpus.analyzer, cache=("m", path))) == want
+    n = G.read_cache(spark, path).count()
+    # all answers come from the cache now, but not those of another model
+    assert key(lint.lint(*args, lambda: G.TableAnalyzer({}), cache=("m", path))) == want
+    assert key(lint.lint(*args, lambda: G.TableAnalyzer({}), cache=("other", path))) != want
+    assert G.read_cache(spark, path).count() == n > 3
+    G.trim(spark, path, 3)
+    assert G.read_cache(spark, path).count() == 3
+    assert G.clear(spark, path) and not G.clear(spark, path) and G.read_cache(spark, path).count() == 0
+
+
 def test_untagged_sentences_stay_untagged(spark):
     docs = spark.createDataFrame([("a", "The lid was opened. It isn't.")], "path string, text string")
     plain = {(r["rule_id"], r["start"]) for r in lint.lint(docs).collect()}

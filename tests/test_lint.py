@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +237,44 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["init"]) == 0 and cli.main(["init"]) == 2 and cli.main(["schema"]) == 0
 
 
+def test_command_line_plans(spark, tmp_path, capsys, monkeypatch):
+    from clausewise import cli
+
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "docs").mkdir()
+    monkeypatch.chdir(tmp_path / "docs")
+    Path("a.md").write_text("It isn't.\n")
+    out = lambda: capsys.readouterr().out
+    entries = [{"file": "a.md", "rule_id": "STE-4.2", "text": "isn't", "count": 2}, {"file": "gone.md", "rule_id": "R", "text": "x"}]
+    Path("b.json").write_text(json.dumps({"entries": entries}))
+    assert cli.main(["lint", "a.md", "--no-config", "--baseline", "b.json", "--format", "json", "--summary-only=true"], spark) == 0
+    total = json.loads(out())["summary"]
+    assert (total["findings"], total["accepted"], total["stale"]) == (0, 1, 1)
+    assert cli.main(["baseline", "a.md", "--no-config", "--baseline", "b.json", "--format", "json", "--dry-run"], spark) == 0
+    told = json.loads(out())
+    assert (told["findings"], told["removed"], told["kept"], told["exists"]) == (1, 1, 0, True) and len(json.loads(Path("b.json").read_text())["entries"]) == 2
+    assert cli.main(["baseline", "a.md", "--no-config", "--baseline", "b.json"], spark) == 0 and len(json.loads(Path("b.json").read_text())["entries"]) == 1
+    out()
+    assert cli.main(["lint", "a.md", "--no-config", "--format", "sarif", "--fail-on-new=false"], spark) == 0
+    run = json.loads(out())["runs"][0]
+    result = run["results"][0]
+    assert run["tool"]["driver"]["rules"][result["ruleIndex"]]["id"] == "STE-4.2"
+    assert result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "docs/a.md"
+    assert cli.main(["lint", "a.md", "--no-config", "--format", "ndjson", "--output", str(tmp_path / "out")], spark) == 0
+    assert '"STE-4.2"' in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+    assert cli.main(["lint", "a.md", "--all-files=perhaps"], spark) == 2
+    out()
+    Path("a.expected.json").write_text('{"expect": [{"rule_id": "STE-4.2"}]}')
+    Path("c.md").write_text("x")
+    Path("c.expected.json").write_text('{"analyze": true}')
+    assert cli.main(["eval", ".", "--format", "json", "--fail-under", "1"], spark) == 0
+    told = json.loads(out())
+    assert told["totals"]["true_positives"] == 1 and told["skipped"] == ["c.md"] and told["files"] == 1
+    assert cli.main(["analyzer", "--format", "json"]) == 0 and json.loads(out())["ready"] is False
+    assert cli.main(["lint", "a.md", "--no-config", "--analyzer", "false"], spark) == 2
+    assert cli.main(["init", "--dry-run"]) == 0 and not Path(".ste.yml").exists()
+
+
 def test_stream(spark, tmp_path):
     from clausewise.streaming import files as stream
 
