@@ -46,19 +46,35 @@ def text_crc(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long")
 
 
-def spread(c: Column) -> Column:
-    """A categorical value's place on a line: its first 6 bytes as a number, so prefixes stay together."""
-    padded = F.rpad(F.hex(F.substring(F.coalesce(c, F.lit("")).cast("binary"), 1, 6)), 12, "0")
+#: Bytes of a categorical value, behind what all values share, that make its coordinate.
+PLACE_BYTES = 7
+
+
+def shared_prefix(a: str | None, z: str | None) -> int:
+    """Bytes that the lowest and the highest value begin with, and so all values between them."""
+    low, high = (a or "").encode(), (z or "").encode()
+    return next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+
+
+def spread(c: Column, skip: int = 0) -> Column:
+    """A categorical value's place on a line: PLACE_BYTES bytes from ``skip`` on as a number, in the values' order."""
+    digits = 2 * PLACE_BYTES
+    padded = F.rpad(F.hex(F.substring(F.coalesce(c, F.lit("")).cast("binary"), skip + 1, PLACE_BYTES)), digits, "0")
     return F.conv(padded, 16, 10).cast("long")
 
 
 def dimensions(df: DataFrame) -> list[tuple[str, Column]]:
-    """Metadata dimensions of documents as longs, in the order that breaks ties of width."""
+    """Metadata dimensions of documents as longs, in the order that breaks ties of width.
+
+    One aggregate finds the prefix that all values of a categorical column share (such as ``https://``), so
+    that coordinates tell values apart behind it.
+    """
     have = dict(df.dtypes)
+    named = [n for n in ("source", "lang") if n in have]
     found = []
-    for name in ("source", "lang"):
-        if name in have:
-            found.append((name, spread(F.col(name).cast("string"))))
+    if named:
+        ends = df.agg(*[f(F.col(n).cast("string")) for n in named for f in (F.min, F.max)]).first()
+        found = [(n, spread(F.col(n).cast("string"), shared_prefix(ends[2 * k], ends[2 * k + 1]))) for k, n in enumerate(named)]
     if "n_chars" in have:
         found.append(("n_chars", F.coalesce(F.col("n_chars").cast("long"), F.lit(-1))))
     found.append(("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))

@@ -129,3 +129,44 @@ def test_shards_of_equal_rows_and_empty(spark):
     out = sharding.shard_documents(documents(spark))
     assert {"shard", "slot", "size", "_row"} <= set(out.columns) and out.count() == len(document_rows())
     assert hashlib.md5(str(sorted(map(str, out.collect()))).encode()).digest() == hashlib.md5(str(sorted(map(str, out.collect()))).encode()).digest()
+
+
+def brute_tree(rows, n_dims, leaves, first, root):
+    """doc_id to shard by sorting every node's rows: the same law as ``grow``, without histograms."""
+    if leaves == 1:
+        return {r["doc_id"]: first for r in rows}
+    half = leaves // 2
+    width = [(max(r[f"d{i}"] for r in rows) - min(r[f"d{i}"] for r in rows)) / max(root[i], 1) if rows else 0 for i in range(n_dims)]
+    dim = max(range(n_dims), key=lambda i: (width[i], -i))
+    need = sum(r["size"] for r in rows) * half / leaves
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(r[f"d{dim}"], r["tie"])].append(r)
+    left, run = [], 0
+    for key in sorted(groups):
+        w = sum(r["size"] for r in groups[key])
+        if run + w > need and run + w - need >= need - run:
+            break
+        left += groups[key]
+        run += w
+        if run > need:
+            break
+    taken = {id(r) for r in left}
+    right = [r for r in rows if id(r) not in taken]
+    return brute_tree(left, n_dims, half, first, root) | brute_tree(right, n_dims, leaves - half, first + half, root)
+
+
+def test_shards_against_sorting(spark):
+    rows = [(k, "w" * (7 * k % 50 + 1), ["de", "en"][k % 2], f"https://site{k % 7}.org", 7 * k % 50 + 1) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide, n = sharding.with_coordinates(docs)
+    flat = [r.asDict() for r in wide.drop("_row").collect()]
+    assert len({r["d0"] for r in flat}) == 7
+    root = [max(r[f"d{i}"] for r in flat) - min(r[f"d{i}"] for r in flat) for i in range(n)]
+    for shards in (24, 7, 2):
+        got = {r["doc_id"]: r["shard"] for r in sharding.digest(docs, shards).collect()}
+        assert got == brute_tree(flat, n, shards, 0, root)
+
+
+def test_shared_prefix():
+    assert [sharding.shared_prefix(*x) for x in ((None, None), ("", "a"), ("src0", "src9"), ("a", "a"), ("aé", "aè"))] == [0, 0, 3, 1, 2]
