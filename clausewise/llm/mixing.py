@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import words
 
 MAX_REPEAT = 3
-#: Slices of a source's order; each (source, slice) pair is one window partition.
-SLICES = 4096
+#: Rows of a slice on average; each (source, slice) pair is one window partition. A source's order does not
+#: depend on the slices: they cut the same order of keys in more or fewer pieces.
+SLICE_ROWS = 100_000
+MIN_SLICES = 64
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -80,13 +82,14 @@ def plan(docs: DataFrame, text: str = "text", max_repeat: int = MAX_REPEAT, keep
     are taken, so a source's taken words miss its target by less than one document. Documents
     beyond the last copy get the positions after 1 that they would have had next.
     """
+    slices_n = max(MIN_SLICES, -(-docs.count() // SLICE_ROWS))
     sized = docs.select(
         "doc_id",
         F.col("source"),
         *[F.col(c) for c in keep if c not in ("doc_id", "source")],
         F.size(words(F.col(text))).cast("long").alias("_size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_key"),
-    ).withColumn("_slice", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
+    ).withColumn("_slice", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(slices_n), 32).cast("int"))
     slices = sized.groupBy("source", "_slice").agg(F.sum("_size").alias("_sum"))
     targets = source_targets(slices.groupBy("source").agg(F.sum("_sum").cast("long").alias("source_size")), max_repeat)
     before = W.partitionBy("source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
