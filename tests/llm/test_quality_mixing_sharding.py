@@ -43,6 +43,23 @@ def test_quality_cascade_order_does_not_change_the_verdict(spark):
     assert quality.digest(empty(spark)).count() == 0 and quality.filter_documents(empty(spark)).count() == 0
 
 
+def test_next_rule_counts_only_rows_that_are_left():
+    rejected = [{"a", "b"}] * 6 + [{"c"}] * 2 + [set()] * 2
+    seconds = {"a": 1.0, "b": 1.2, "c": 1.0, "d": 0.1}
+    order = quality.greedy_order(list(seconds), seconds, rejected)
+    assert [(e.name, e.rejects) for e in order] == [("a", 0.6), ("c", 0.2), ("d", 0.0), ("b", 0.0)]
+    assert [e.name for e in quality.greedy_order(["a", "b"], {"a": 2.0, "b": 1.0}, [])] == ["b", "a"]
+
+
+def test_windows_that_share_their_hash_bits_are_told_apart(spark, monkeypatch):
+    """With three kinds of hash values only, the words alone decide which windows are repeated."""
+    real = quality.F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.pmod(real(*c), quality.F.lit(3)))
+    texts = ["a b c d a b c e f", "x y z x y w x y z", "p q r s t u v", "o o o o o", "k l m n k l m k l m n"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", quality.repeated_words(quality.F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {k: base(t)[4] for k, t in enumerate(texts)}
+
+
 def test_quality_rejects_junk_and_keeps_prose(spark):
     words = " ".join(f"word{k} is plain" for k in range(40))
     junk = ["$$$ ".join(words.split(" ")), " ".join(["spam"] * 80), words.upper(), "| ".join(f"{k}" for k in range(80)), "\n".join(["a line of words " + str(k % 3) for k in range(60)])]
