@@ -266,14 +266,37 @@ def report_github(spark, sf_dir):
     return r.select(report.github_line().alias("line"))
 
 
-@query()
+FIELDS = ("file", "rule_id", "severity", "line", "column", "start", "end", "text")
+WRITTEN = ("STE-4.2", "STE-8.1")
+JSON_TEXT = "'\"' || replace(replace(text, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+MESSAGE = """CASE rule_id WHEN 'STE-8.1' THEN 'A semicolon is not approved.' ELSE '\\"' || text || '\\" is a contraction.' END"""
+ADVICE = """CASE rule_id WHEN 'STE-8.1' THEN 'Write two sentences or a list.' ELSE 'Write \\"' || CASE text WHEN 'isn''t' THEN 'is not' ELSE 'it is' END || '\\".' END"""
+SURE = "CASE rule_id WHEN 'STE-8.1' THEN '1.0' ELSE '0.98' END"
+
+
+@query(
+    f"""{probes.expected_sql()}, {LINES} SELECT '{{"file":"' || file || '","rule_id":"' || rule_id || '","severity":"' || severity || '","line":' || line || ',"column":' || "column"
+  || ',"start":' || "start" || ',"end":' || "end" || ',"text":' || {JSON_TEXT} || '}}' AS line FROM lines"""
+)
+def report_fields(spark, sf_dir):
+    return report.located(found(spark, sf_dir)).select(report.json_fields(FIELDS).alias("line"))
+
+
+@query(
+    f"""{probes.expected_sql(WRITTEN)}, {LINES} SELECT '{{"rule_id":"' || rule_id || '","message":"' || {MESSAGE} || '","severity":"warning","confidence":' || {SURE} || ',"start":' || "start" || ',"end":' || "end"
+  || ',"suggestion":"' || {ADVICE} || '","file":"' || file || '","line":' || line || ',"column":' || "column" || ',"text":' || {JSON_TEXT} || ',"type":"finding"}}' AS line FROM lines"""
+)
 def report_ndjson(spark, sf_dir):
-    return report.located(found(spark, sf_dir)).select(report.ndjson_line().alias("line"))
+    return report.located(found(spark, sf_dir, WRITTEN)).select(report.ndjson_line().alias("line"))
 
 
-@query()
+@query(
+    f"""{probes.expected_sql(WRITTEN)}, {LINES} SELECT '{{"ruleId":"' || rule_id || '","level":"warning","message":{{"text":"' || {MESSAGE} || ' ' || {ADVICE} || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file
+  || '"}},"region":{{"startLine":' || line || ',"startColumn":' || "column" || ',"endLine":' || line || ',"endColumn":' || ("column" + length(text)) || '}}}}}}],"properties":{{"confidence":' || {SURE}
+  || '}},"ruleIndex":' || CASE rule_id WHEN 'STE-8.1' THEN '8' ELSE '6' END || '}}' AS line FROM lines"""
+)
 def report_sarif(spark, sf_dir):
-    return report.located(found(spark, sf_dir)).select(report.sarif_result().alias("line"))
+    return report.located(found(spark, sf_dir, WRITTEN)).select(report.sarif_result().alias("line"))
 
 
 # --- baselines, scores, files -------------------------------------------------------------------
@@ -321,9 +344,22 @@ def rule_scores_rollup(spark, sf_dir):
     return E.scores(c).withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
-@query()
+MATCHED = ("STE-1.14", "STE-4.2")
+#: One finding after the other takes its first open label.
+LABELS_SQL = f"""{probes.expected_sql(MATCHED).replace("WITH docs", "WITH RECURSIVE docs", 1)}, {LINES},
+f AS (SELECT file, rule_id, text, "start" AS place, row_number() OVER (PARTITION BY file, rule_id ORDER BY "start") AS n FROM lines),
+g AS (SELECT file, rule_id, count(*) AS found, coalesce(list(CASE WHEN place % 4 = 0 THEN '' ELSE text END ORDER BY place) FILTER (place % 2 = 0), []) AS labels FROM f GROUP BY ALL),
+step AS (SELECT file, rule_id, 0::BIGINT AS n, labels AS open FROM g UNION ALL
+  SELECT file, rule_id, n, list_filter(open, lambda x, i: k IS NULL OR i <> k) FROM (
+    SELECT f.file, f.rule_id, f.n, s.open, list_filter(range(1, len(s.open) + 1), lambda i: s.open[i] = '' OR s.open[i] = f.text)[1] AS k FROM step s JOIN f ON f.file = s.file AND f.rule_id = s.rule_id AND f.n = s.n + 1)),
+m AS (SELECT g.rule_id, len(labels) - len(open) AS tp, found - len(labels) + len(open) AS fp, len(open) AS fn FROM g JOIN step s ON s.file = g.file AND s.rule_id = g.rule_id AND s.n = g.found),
+t AS (SELECT coalesce(rule_id, 'all') AS rule_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM m GROUP BY ROLLUP (rule_id))
+SELECT rule_id, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp) END AS "precision", CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn) END AS recall FROM t"""
+
+
+@query(LABELS_SQL)
 def label_matching(spark, sf_dir):
-    f = found(spark, sf_dir, ("STE-1.14", "STE-4.2"))
+    f = found(spark, sf_dir, MATCHED)
     r = report.located(f).select("file", "rule_id", "text", F.col("start").alias("place"))
     labels = r.filter("place % 2 = 0").select("file", "rule_id", F.when(F.col("place") % 4 == 0, "").otherwise(F.col("text")).alias("text"), "place")
     return E.scores(E.match(r, labels))
