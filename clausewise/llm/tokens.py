@@ -2,7 +2,7 @@
 
 A tokenizer file of the word-piece-with-word-ends kind is compiled into two machines.
 
-* ``Splitter``: a deterministic transducer over character classes, 8 states, that marks where a
+* ``Splitter``: a deterministic transducer over character classes, 7 states, that marks where a
   pre-token starts. A text is cut into chunks of equal length; each chunk's state map (start state
   to end state) is computed for all states and all chunks in step, the maps are composed by a
   parallel prefix scan, and with every chunk's true start state known a last pass annotates the
@@ -269,10 +269,9 @@ _LOADED: dict[str, Counter] = {}
 
 def counter(spec_json: str) -> Counter:
     """One counter for each worker process and tokenizer."""
-    key = spec_json[:200] + str(len(spec_json))
-    if key not in _LOADED:
-        _LOADED[key] = Counter(json.loads(spec_json))
-    return _LOADED[key]
+    if spec_json not in _LOADED:
+        _LOADED[spec_json] = Counter(json.loads(spec_json))
+    return _LOADED[spec_json]
 
 
 def load_spec(path: str) -> str:

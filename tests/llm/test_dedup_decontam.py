@@ -176,6 +176,82 @@ def test_names_in_any_case_place_and_space(spark):
     assert got == {(0, 1), (1, 2), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1)}
 
 
+def plain_windows(w):
+    """(at, words, slot words) of every window in both forms, in plain Python."""
+    forms = [("\x04", [x[0] if x < "\x04" else x for x in w], ""), ("\x02", [x[1:] if x < "\x02" else x[0] if x < "\x04" else x for x in w], "\x02")]
+    out = []
+    for k, (_, words, least) in enumerate(forms):
+        if 0 < len(w) < 5:
+            out.append((0, ("short", *words), [x for x in w if least <= x < "\x04"], k))
+        for i in range(len(w) - 4):
+            if k == 0 or any(x < "\x02" for x in w[i : i + 5]):
+                out.append((i, tuple(words[i : i + 5]), [x for x in w[i : i + 5] if least <= x < "\x04"], k))
+    return out
+
+
+def held_items(docs, items):
+    """{(doc_id, item_id): (similarity, slot_pairs)} by comparing every document with every item."""
+    found = {}
+    for doc_id in {d for d, _ in docs}:
+        have = [x for d, w in docs if d == doc_id for x in plain_windows(w)]
+        for item_id, w in items:
+            want = plain_windows(w)
+            own = {at: words for at, words, _, k in want if k == 0}
+            n = len(set(own.values()))
+            hits = [(a - b, own[b], tuple(t), tuple(s)) for a, x, s, _ in have for b, y, t, _ in want if x == y]
+            bands = {}
+            for h in hits:
+                for band in (None, h[0] // 16 * 2, (h[0] + 8) // 16 * 2 + 1):
+                    bands.setdefault(band, []).append(h)
+            best = None
+            for rows in bands.values():
+                shared = len({h[1] for h in rows})
+                if shared < 0.8 * n:
+                    continue
+                size = lambda d: len({h[1] for h in hits if h[0] == d})
+                drift = max({h[0] for h in rows}, key=lambda d: (size(d), -abs(d), d))
+                pairs = {p for h in hits if h[0] == drift for p in zip(h[2], h[3])}
+                ok = len({a for a, _ in pairs}) >= 0.9 * len(pairs) and (len(pairs) < 10 or 2 * len({b for _, b in pairs}) >= len(pairs))
+                best = max(best or (False, 0, 0), (ok, shared, len(pairs)))
+            if best and best[0]:
+                found[doc_id, item_id] = (round(best[1] / n, 6), best[2])
+    return found
+
+
+def test_decontamination_against_comparing_all(spark):
+    r = random.Random(21)
+    items = [
+        BENCHMARK[0][1],
+        BENCHMARK[1][1],
+        "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have?",
+        "A train leaves Rome at 9 and drives 120 km in 2 hours. How fast is the train on its way to Milan?",
+        "1 2 3 4 5 6 7",
+        "Ann 5 kg",
+        " ".join(r.choice(("the old mill", "the Red Fox", "a small boat", "12 kg of Salt", "the quiet town")) for _ in range(30)),
+    ]
+    swaps = [(a, b) for a in ("Tom", "Ann", "Bob", "Rome", "12", "5", "120") for b in ("Zoe", "Max", "77", "8", a.lower())]
+
+    def changed(t):
+        for a, b in r.sample(swaps, r.randrange(4)):
+            t = t.replace(a, b, r.choice((1, 9)))
+        w = t.split(" ")
+        for _ in range(r.choice((0, 0, 1, 3))):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = [r.choice(("extra", "Word", "4", ""))]
+        return r.choice((str, str, str.upper, str.lower))(" ".join(w))
+
+    rows = []
+    for k in range(70):
+        parts = [changed(r.choice(items)) if r.random() < 0.6 else prose(r, r.randrange(1, 40)) for _ in range(r.randrange(1, 5))]
+        rows.append((k % 66, r.choice(("\n", " ", ". ")).join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    marked = lambda df, key: [(x[0], x[1]) for x in df.select(key, decontam.marked_words(decontam.F.col("text"), anywhere=True)).collect()]
+    want = held_items(marked(docs, "doc_id"), marked(bench, "item_id"))
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["slot_pairs"]) for x in decontam.digest(docs, bench).collect()}
+    assert got == want and len(want) > 30 and len({i for _, i in want}) == len(items)
+
+
 def test_decontamination_shuffled_and_empty(spark, monkeypatch):
     docs, bench = documents(spark), spark.createDataFrame([(k, f"{x[1]}") for k, x in enumerate(document_rows()[:5])], "item_id long, text string")
     one = sorted(map(tuple, decontam.digest(docs, bench).collect()))
