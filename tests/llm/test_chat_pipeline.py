@@ -4,13 +4,16 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewise.llm import chat, quality
+from clausewise.llm import chat, decontam, mixing, quality, sharding
 from clausewise.llm.queries import ORACLES, QUERIES
 
-from .fixtures import document_rows, documents, prose
+from .fixtures import DOCUMENTS, document_rows, documents, prose
+from .test_dedup_decontam import brute, held_items
+from .test_quality_mixing_sharding import SPLIT, base, brute_tree
 
 CHAT = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -119,6 +122,46 @@ def test_pipeline(spark, tmp_path):
     assert {x["doc_id"] for x in final} == kept[3] and {"shard", "slot", "text"} <= set(final[0].asDict())
 
 
+def good(text):
+    """The verdict of all quality rules, in plain Python."""
+    n, chars, symbols, dup, repeated = base(text)
+    lines = sum(bool(SPLIT.search(x)) for x in (text or "").split("\n"))
+    alphabetic = sum(bool(regex.search(r"\p{L}", w)) for w in SPLIT.findall(text or ""))
+    upper = len(regex.findall(r"\p{Lu}", text or ""))
+    bad = n < 50 or 2 * repeated > n or 5 * symbols > n or 2 * dup > lines or 5 * alphabetic < 4 * n or 2 * upper > chars or not 2 * n <= chars <= 15 * n
+    return not bad
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage done again by comparing all with all: plain Python, SQL for the mix, sorting for the shards."""
+    r = random.Random(31)
+    rows = list({x[0]: x for x in document_rows(n=150) if x[0] is not None}.values())
+    items = [rows[k][1][:300] for k in (3, 9)] + [prose(r, 30), "one two"]
+    rows += [(300 + k, f"{prose(r, 60)} {items[2]} {prose(r, 40 + k)}", "en", "s1", k) for k in range(5)] + [(310, f"{rows[8][1]} end", "en", "s2", 3)]
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    left = [x for x in rows if good(x[1])]
+    group = brute(left, 5)
+    left = [x for x in left if group[x[0]] == x[0]]
+    words = lambda df, key: [(x[0], x[1]) for x in df.select(key, decontam.marked_words(F.col("text"), anywhere=True)).collect()]
+    hit = {d for d, _ in held_items(words(spark.createDataFrame(left, DOCUMENTS), "doc_id"), words(bench, "item_id"))}
+    left = [x for x in left if x[0] not in hit]
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(left, DOCUMENTS).toPandas())
+    copies = {d: c for d, c in con.sql(f"SELECT doc_id, copies FROM ({mixing.ORACLE})").fetchall()}
+    mixed = [x for x in left for _ in range(copies[x[0]])]
+    wide, n = sharding.with_coordinates(spark.createDataFrame(mixed, DOCUMENTS))
+    flat = [x.asDict() for x in wide.drop("_row").collect()]
+    root = [max(x[f"d{i}"] for x in flat) - min(x[f"d{i}"] for x in flat) for i in range(n)]
+    shard = brute_tree(flat, n, sharding.SHARDS, 0, root)
+
+    assert len(rows) > len(left) > 50 and hit and len(mixed) > len(set(mixed))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"], x["text"], x["shard"]) for x in got) == sorted((x[0], x[1], shard[x[0]]) for x in mixed)
+
+
 def test_empty_tables_through_the_pipeline(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
