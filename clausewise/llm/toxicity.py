@@ -151,8 +151,11 @@ class Model:
         return np.concatenate([np.log1p(at_least[[0, 1, 2, 3, 5]]), np.log1p(100 * at_least[[0, 2, 4]] / (windows + 3)), [math.log1p(saved[9]), math.log1p(windows)]])
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        z = np.c_[np.ones(len(features)), (features - self.mean) / self.scale] @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        # term by term, not as a matrix product, whose last bits depend on the other rows of a batch
+        z = np.full(len(features), self.weights[0])
+        for x, w in zip(((features - self.mean) / self.scale).T, self.weights[1:]):
+            z = z + x * w
+        return np.array([1 / (1 + math.exp(-v)) for v in np.clip(z, -30, 30).tolist()])
 
     def score_texts(self, texts: list[str]) -> np.ndarray:
         a, b = self.compressors()
