@@ -77,6 +77,55 @@ def test_digest_reads_the_examples(spark, monkeypatch, column):
         assert sorted(map(tuple, got)) != sorted(map(tuple, good))
 
 
+@pytest.mark.parametrize("chars", [None, 300, 1])
+def test_examples_hold_the_text_before_them(spark, monkeypatch, chars):
+    """The whole text in conversations of one chapter, else the chapter's, which follows those before without a gap."""
+    if chars:
+        monkeypatch.setattr(chat, "PREFIX_CHARS", chars)
+    rows = [*ROWS, *[(9, k, "user" if k % 3 else "assistant", f"text {k} \\ <|") for k in range(150)], *[(8, None, "assistant", f"é {k}") for k in range(90)]]
+    frame = spark.createDataFrame(rows, CHAT)
+    placed = chat.place(frame)
+    streams = {x["conv_id"]: x["stream"] for x in chat.streams(frame).collect()}
+    examples = chat.expand(placed).collect()
+    assert len(examples) == sum(role == "assistant" for _, _, role, _ in rows)
+    for e in examples:
+        assert e["prefix"] == streams[e["conv_id"]][e["before"]["chars"] : e["context_chars"]]
+        assert e["before"]["chars"] == 0 if chars is None else len(e["prefix"]) < chars
+    assert (max(e["chapter"] for e in examples) > 0) == bool(chars)
+    full = chat.materialise(frame).collect()
+    spans = {(e["conv_id"], e["example"]): (e["loss_start"], e["loss_end"]) for e in examples}
+    assert len(full) == len(spans) == len(examples)
+    for m in full:
+        a, b = spans[m["conv_id"], m["example"]]
+        assert (m["prompt"], m["completion"]) == (streams[m["conv_id"]][:a], streams[m["conv_id"]][a:b])
+    out = chat.digest(frame).collect()
+    want = expected([*rows, (-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)])
+    assert {x["conv_id"]: (x["n_turns"], x["turns_sha256"], x["loss_chars"], x["loss_sha256"]) for x in out if x["conv_id"] != 8} == {k: v for k, v in want.items() if k != 8}
+
+
+@pytest.mark.parametrize("prefix", ["translate(prefix, '7', '8')", "substr(prefix, 2)", "''", "null"])
+@pytest.mark.parametrize("chars", [1 << 18, 1000])
+def test_digest_reads_the_prefixes(spark, monkeypatch, prefix, chars):
+    frame = spark.createDataFrame([(9, k, "user" if k % 2 else "assistant", f"text {k}") for k in range(200)], CHAT)
+    right = chat.expand
+    monkeypatch.setattr(chat, "PREFIX_CHARS", chars)
+    monkeypatch.setattr(chat, "expand", lambda placed: right(placed).withColumn("prefix", F.when(F.col("turn") == 100, F.expr(prefix)).otherwise(F.col("prefix"))))
+    with pytest.raises(Exception, match="does not fit"):
+        chat.digest(frame).collect()
+
+
+def test_turns_of_one_number_follow_the_sql(spark, tmp_path):
+    """Rows of one turn are in the order of role and text, not of their escaped and closed forms."""
+    texts = ["hi", "hi there", "hi\x01", "<|", "<a", "\\", "a", "[INST]", "[JNST]", "", "</s>", "</t>"]
+    rows = [(1, 0, role, t) for role in ("assistant", "user", "user\t", "tool") for t in texts]
+    spark.createDataFrame(rows, CHAT).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(chat.ORACLE)
+    got = QUERIES["op9_prefix_target_chat"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_no_control_string_survives_in_a_text(spark):
     frame = spark.createDataFrame(ROWS, CHAT)
     for x in chat.format_turns(frame).collect():
